@@ -6,12 +6,64 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.operators import skew
+from graphloom.sources import lines
+from graphloom.tables import load
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {
+        "p3_found": lambda s, d: skew.found_hubs(load(s, d, "edges")),
+        "p3_vertex_loads": lambda s, d: skew.vertex_loads(load(s, d, "edges")),
+        "p3_max_degree": lambda s, d: skew.max_degree(load(s, d, "edges")),
+        "p3_file_hub_entries": lambda s, d: skew.file_hub_entries(load(s, d, "edges")),
+        "p5_found": lambda s, d: lines.broken_lines(load(s, d, "raw_lines")),
+        "p5_loaded": lambda s, d: lines.loaded_lines(load(s, d, "raw_lines")).withColumnsRenamed({"begin": "begin_id", "end": "end_id"}),
+        "p5_repairs": lambda s, d: lines.repairs(load(s, d, "raw_lines")),
+    }
+
+
+_P3 = """
+WITH ends AS (
+  SELECT src AS v, CASE WHEN src = dst THEN NULL ELSE dst END AS nbr, file_id FROM edges WHERE src IS NOT NULL
+  UNION ALL
+  SELECT dst, src, file_id FROM edges WHERE dst IS NOT NULL AND (src IS NULL OR src <> dst)),
+loads AS (SELECT v, count(*) AS entries, count(DISTINCT nbr) AS neighbours FROM ends GROUP BY v)
+"""
+
+_P5 = r"""
+WITH record AS (
+  SELECT line_id, line FROM raw_lines
+  WHERE line IS NOT NULL AND line NOT LIKE '#%' AND NOT regexp_full_match(line, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]*')),
+cut AS (
+  SELECT line_id, line,
+    regexp_full_match(line, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*') AS quotes_ok,
+    regexp_full_match(line, '(?s)(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*)){3}') AS columns_ok,
+    regexp_extract(line, '(?s)^("(?:[^"]|"")*"|[^"\t]*)\t("(?:[^"]|"")*"|[^"\t]*)\t("(?:[^"]|"")*"|[^"\t]*)\t("(?:[^"]|"")*"|[^"\t]*)$', ['b', 'e', 't', 'r']) AS f
+  FROM record),
+bare AS (
+  SELECT line_id, quotes_ok, columns_ok,
+    CASE WHEN f.b LIKE '"%' THEN replace(f.b[2:-2], '""', '"') ELSE f.b END AS b,
+    CASE WHEN f.e LIKE '"%' THEN replace(f.e[2:-2], '""', '"') ELSE f.e END AS e,
+    CASE WHEN f.t LIKE '"%' THEN replace(f.t[2:-2], '""', '"') ELSE f.t END AS tag,
+    CASE WHEN f.r LIKE '"%' THEN replace(f.r[2:-2], '""', '"') ELSE f.r END AS remark
+  FROM cut),
+checked AS (
+  SELECT *, CASE WHEN NOT quotes_ok THEN 'quoting' WHEN NOT columns_ok THEN 'columns'
+    WHEN NOT regexp_full_match(b, '[0-9]+') OR TRY_CAST(b AS HUGEINT) IS NULL OR TRY_CAST(b AS HUGEINT) > 4294967295 THEN 'begin'
+    WHEN NOT regexp_full_match(e, '[0-9]+') OR TRY_CAST(e AS HUGEINT) IS NULL OR TRY_CAST(e AS HUGEINT) > 4294967295 THEN 'end' END AS reason
+  FROM bare)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": _P3 + "SELECT v FROM loads WHERE entries * 100 > (SELECT count(*) FROM edges)",
+        "p3_vertex_loads": _P3 + "SELECT v, entries, neighbours FROM loads",
+        "p3_max_degree": _P3 + "SELECT max(neighbours) AS max_degree FROM loads",
+        "p3_file_hub_entries": _P3 + "SELECT file_id, count(*) AS hub_entries FROM ends JOIN loads USING (v) WHERE entries >= 1000 GROUP BY file_id",
+        "p5_found": _P5 + "SELECT line_id, reason FROM checked WHERE reason IS NOT NULL",
+        "p5_loaded": _P5 + "SELECT line_id, CAST(b AS BIGINT) AS begin_id, CAST(e AS BIGINT) AS end_id, tag, remark FROM checked WHERE reason IS NULL",
+    }
