@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import frequency, overlap, spelling
+from graphloom.llm import encoding, frequency, language, overlap, packing, spelling
 from graphloom.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def queries() -> dict[str, Query]:
         "p2_frequency": lambda s, d: frequency.label_frequency(load(s, d, "graphs")),
         "p4_found": lambda s, d: overlap.found_overlaps(load(s, d, "csr_offsets"), load(s, d, "csr_cols")),
         "p4_overlap": lambda s, d: overlap.overlap_report(load(s, d, "csr_offsets"), load(s, d, "csr_cols")),
+        "p6_ids": lambda s, d: encoding.encoded(load(s, d, "documents")),
+        "p6_counts": lambda s, d: encoding.token_counts(load(s, d, "documents")),
+        "p7_packed": lambda s, d: packing.packed_documents(load(s, d, "documents"), load(s, d, "bin_capacity")),
+        "p7_fill": lambda s, d: packing.fill_report(packing.packed_documents(load(s, d, "documents"), load(s, d, "bin_capacity")), load(s, d, "bin_capacity")),
+        "p8_found": lambda s, d: language.found_languages(load(s, d, "documents"), load(s, d, "lang_codes")),
+        "p8_languages": lambda s, d: language.languages(load(s, d, "documents"), load(s, d, "lang_codes")),
     }
 
 
