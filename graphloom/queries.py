@@ -6,15 +6,102 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.operators import skew
+from pyspark.sql import functions as F
+
+from graphloom.operators import app, cliques, cluster, core, graph, match, quasi, sets, skew
+from graphloom.plans.matchplan import match_sql
+from graphloom.plans.pattern import preset, preset_numbers
 from graphloom.sources import lines
-from graphloom.tables import load
+from graphloom.tables import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def parts_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that were returned from the same order, as normalised edges."""
+    return graph.copurchase(load(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_returnflag"), F.col("l_returnflag") == "R")
+
+
+def large_orders_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts ordered together in quantities of 40 and more, as normalised edges."""
+    return graph.copurchase(load(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity"), F.col("l_quantity") >= 40)
+
+
+def noted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edge records as normalised edges."""
+    return graph.edges_norm(load(spark, sf_dir, "edges", "src", "dst"))
+
+
+def order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each order that were returned, as sets."""
+    x = load(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_returnflag").where(F.col("l_returnflag") == "R")
+    return x.groupBy(F.col("l_orderkey").alias("set_id")).agg(F.collect_list("l_partkey").alias("members"))
+
+
+def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three-vertex cliques of the graph of large orders, as kernels."""
+    found = match.prefix_rows(large_orders_graph(spark, sf_dir), preset(23))
+    return found.select(F.col("q0").alias("kernel_id"), F.array("q0", "q1", "q2").alias("members"))
+
+
+#: Presets whose matches are counted on the graph of returned parts; those with long cycles or tails are counted on the smaller graph of large orders.
+LONG = (3, 16, 17)
+
+
+def _graph_of(number: int):  # noqa: ANN202
+    return large_orders_graph if number in LONG else parts_graph
+
+
 def queries() -> dict[str, Query]:
-    return {
+    out: dict[str, Query] = {
+        "edges_norm": noted_graph,
+        "degree": lambda s, d: graph.degrees(noted_graph(s, d)),
+        "degree_hist": lambda s, d: graph.degree_histogram(noted_graph(s, d)),
+        "max_degree": lambda s, d: graph.max_degree(noted_graph(s, d)),
+        "id_range": lambda s, d: graph.id_range(noted_graph(s, d)),
+        "preprocessed": lambda s, d: graph.preprocessed(load(s, d, "edges", "src", "dst")),
+        "adjacency": lambda s, d: graph.adjacency(parts_graph(s, d)).select("v", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), ",").alias("nbrs"), "deg"),
+        "two_hop_count": lambda s, d: graph.two_hop(parts_graph(s, d)).agg(F.count("*").alias("n")),
+        "three_hop_count": lambda s, d: graph.k_hop(large_orders_graph(s, d), graph.degrees(large_orders_graph(s, d)), 3).agg(F.count("*").alias("n")),
+        "split_by_order": lambda s, d: graph.split_by_order(graph.adjacency(parts_graph(s, d))).select("v", F.size("later").cast("bigint").alias("later"), F.size("earlier").cast("bigint").alias("earlier")),
+        "noted_triangles": lambda s, d: match.triangles(noted_graph(s, d)).agg(F.count("*").alias("n")),
+        "match_rows_q0": lambda s, d: match.prefix_rows(parts_graph(s, d), preset(0)),
+        "match_rows_q24": lambda s, d: match.prefix_rows(parts_graph(s, d), preset(24)),
+        "ldf_candidates_q14": lambda s, d: match.ldf_candidates(parts_graph(s, d), preset(14)),
+        "dpiso_sizes_q14": lambda s, d: match.candidate_sizes(match.dpiso_candidates(large_orders_graph(s, d), preset(14))),
+        "maximal_cliques": lambda s, d: sets.member_text(cliques.maximal_cliques(parts_graph(s, d))),
+        "maximal_clique_count": lambda s, d: cliques.clique_statistics(cliques.maximal_cliques(parts_graph(s, d))),
+        "maximal_clique_hist": lambda s, d: cliques.clique_histogram(cliques.maximal_cliques(parts_graph(s, d))),
+        "maximal_clique_hist_by_level": lambda s, d: cliques.clique_histogram(cliques.maximal_cliques_by_level(parts_graph(s, d))),
+        "maximal_clique_hist_app": lambda s, d: cliques.clique_histogram(app.run(app.CliqueSearch(), parts_graph(s, d))),
+        "noted_clique_hist": lambda s, d: cliques.clique_histogram(cliques.maximal_cliques(noted_graph(s, d))),
+        "core_number": lambda s, d: core.core_numbers(parts_graph(s, d)),
+        "noted_core_number": lambda s, d: core.core_numbers(noted_graph(s, d)),
+        "core_hist": lambda s, d: core.core_histogram(parts_graph(s, d)),
+        "kmax": lambda s, d: core.kmax(parts_graph(s, d)),
+        "degeneracy_order": lambda s, d: core.degeneracy_order(parts_graph(s, d)),
+        "degeneracy_largest_later": lambda s, d: core.largest_later(core.degeneracy_recoded(parts_graph(s, d))),
+        "k_core_8": lambda s, d: core.k_core(parts_graph(s, d), 8),
+        "shell_bins": lambda s, d: core.shell_bins(parts_graph(s, d), 4).select("v", "bin"),
+        "dedup_sets": lambda s, d: sets.member_text(sets.dedup_sets(order_sets(s, d))),
+        "maximal_sets": lambda s, d: sets.member_text(sets.maximal_sets(order_sets(s, d))),
+        "top2_sets": lambda s, d: sets.top_sets(order_sets(s, d)).select("rank", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members")),
+        "quasi_cliques_1_of_4": lambda s, d: sets.member_text(quasi.quasi_cliques(parts_graph(s, d), (1, 1), 4)),
+        "quasi_cliques_08_of_5": lambda s, d: sets.member_text(quasi.quasi_cliques(large_orders_graph(s, d), (4, 5), 5)),
+        "quasi_cliques_06_of_5": lambda s, d: sets.member_text(quasi.quasi_cliques(large_orders_graph(s, d), (3, 5), 5)),
+        "kernel_expand": lambda s, d: sets.member_text(quasi.kernel_expand(large_orders_graph(s, d), kernels(s, d), (4, 5), 4)),
+        "kmeans_statistics": lambda s, d: cluster.cluster_statistics(cluster.kmeans(parts_graph(s, d), "2x2", 5)),
+        "fennel_parts": lambda s, d: cluster.fennel(parts_graph(s, d), 4),
+        "view_bins": lambda s, d: cluster.view_bins(large_orders_graph(s, d), cluster.fennel(large_orders_graph(s, d), 4), 20_000),
+        "split_bins": lambda s, d: cluster.split_bins(parts_graph(s, d), core.shell_bins(parts_graph(s, d), 3), 4),
+    }
+    for q in preset_numbers():
+        out[f"match_q{q}"] = lambda s, d, q=q: match.prefix_count(_graph_of(q)(s, d), preset(q))
+    for q in (2, 8, 24):
+        out[f"match_expand_q{q}"] = lambda s, d, q=q: match.expand_count(parts_graph(s, d), preset(q))
+    for q in (5, 14, 25):
+        out[f"match_candidate_q{q}"] = lambda s, d, q=q: match.candidate_count(written(large_orders_graph(s, d)), preset(q))
+    return out | {
         "p3_found": lambda s, d: skew.found_hubs(load(s, d, "edges")),
         "p3_vertex_loads": lambda s, d: skew.vertex_loads(load(s, d, "edges")),
         "p3_max_degree": lambda s, d: skew.max_degree(load(s, d, "edges")),
@@ -25,6 +112,64 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _parts_sql(condition: str) -> str:
+    return f"x AS MATERIALIZED (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE {condition}), g AS MATERIALIZED (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)"
+
+
+_MED, _BIG = _parts_sql("l_returnflag = 'R'"), _parts_sql("l_quantity >= 40")
+_NOTED = "g AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM edges WHERE src <> dst)"
+_ARC = ", arc AS MATERIALIZED (SELECT src, dst FROM g UNION ALL SELECT dst, src FROM g), deg AS MATERIALIZED (SELECT src AS v, count(*) AS deg FROM arc GROUP BY src)"
+_CLIQUE = ", adj AS MATERIALIZED (SELECT src AS v, list(dst) AS n FROM arc GROUP BY src), c(m, last, com) AS (SELECT [v], v, n FROM adj UNION ALL SELECT list_append(e.m, adj.v), adj.v, list_intersect(e.com, adj.n) FROM (SELECT m, last, com, unnest(com) AS u FROM c) e JOIN adj ON adj.v = e.u WHERE e.u > e.last), maximal AS (SELECT m FROM c WHERE len(com) = 0)"
+_CORE = ", h(i, v, c) AS (SELECT 0, v, deg FROM deg UNION ALL SELECT i + 1, src, max(least(c, rk)) FROM (SELECT h.i, a.src, h.c, row_number() OVER (PARTITION BY a.src ORDER BY h.c DESC) AS rk FROM h JOIN arc a ON a.dst = h.v WHERE h.i < 60) GROUP BY i, src), cores AS MATERIALIZED (SELECT v, c AS core FROM h WHERE i = 60)"
+_ORDER = ", ranked AS MATERIALIZED (SELECT v, core, deg, row_number() OVER (ORDER BY core, deg, v) - 1 AS id FROM cores JOIN deg USING (v))"
+_SETS = "WITH s AS MATERIALIZED (SELECT DISTINCT list_sort(list_distinct(list(l_partkey))) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey)"
+_TEXT = "array_to_string(list_sort(m), ',') AS members"
+
+
+def _graph_sql() -> dict[str, str]:
+    med, noted = f"WITH RECURSIVE {_MED}{_ARC}", f"WITH RECURSIVE {_NOTED}{_ARC}"
+    big = f"WITH RECURSIVE {_BIG}{_ARC}"
+    out = {
+        "edges_norm": f"WITH {_NOTED} SELECT src, dst FROM g",
+        "degree": f"{noted} SELECT v, deg FROM deg",
+        "degree_hist": f"{noted} SELECT deg, count(*) AS vertices FROM deg GROUP BY deg",
+        "max_degree": f"{noted} SELECT max(deg) AS max_degree FROM deg",
+        "id_range": f"{noted} SELECT min(v) AS min_id, max(v) AS max_id, count(*) AS vertices, (SELECT count(*) FROM g) AS edges FROM deg",
+        "preprocessed": f"{noted}, n AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS id FROM deg) SELECT a.id AS src, b.id AS dst FROM g JOIN n a ON a.v = src JOIN n b ON b.v = dst",
+        "adjacency": f"{med} SELECT src AS v, array_to_string(list(dst ORDER BY dst), ',') AS nbrs, count(*) AS deg FROM arc GROUP BY src",
+        "two_hop_count": f"{med} SELECT count(*) AS n FROM (SELECT src AS a, dst AS b FROM arc UNION SELECT x.src, y.dst FROM arc x JOIN arc y ON x.dst = y.src WHERE x.src <> y.dst)",
+        "three_hop_count": f"{big}, one AS MATERIALIZED (SELECT v AS s, v FROM deg UNION SELECT src, dst FROM arc), two AS MATERIALIZED (SELECT s, v FROM one UNION SELECT s, dst FROM one JOIN arc ON src = v) SELECT count(*) AS n FROM (SELECT s, v FROM two UNION SELECT s, dst FROM two JOIN arc ON src = v)",
+        "split_by_order": f"{med} SELECT src AS v, count(*) FILTER (dst > src) AS later, count(*) FILTER (dst < src) AS earlier FROM arc GROUP BY src",
+        "noted_triangles": match_sql(preset(0), _NOTED),
+        "match_rows_q0": match_sql(preset(0), _MED, rows=True),
+        "match_rows_q24": match_sql(preset(24), _MED, rows=True),
+        "ldf_candidates_q14": f"{med} SELECT CAST(u AS INTEGER) AS u, v FROM (VALUES " + ", ".join(f"({u}, {preset(14).degree(u)})" for u in range(7)) + ") p(u, least_deg) JOIN deg ON deg >= least_deg",
+        "maximal_cliques": f"{med}{_CLIQUE} SELECT {_TEXT} FROM maximal",
+        "maximal_clique_count": f"{med}{_CLIQUE} SELECT count(*) AS cliques, CAST(max(len(m)) AS INTEGER) AS largest FROM maximal",
+        "core_number": f"{med}{_CORE} SELECT v, core FROM cores",
+        "noted_core_number": f"{noted}{_CORE} SELECT v, core FROM cores",
+        "core_hist": f"{med}{_CORE} SELECT core, count(*) AS vertices FROM cores GROUP BY core",
+        "kmax": f"{med}{_CORE} SELECT max(core) AS kmax FROM cores",
+        "degeneracy_order": f"{med}{_CORE}{_ORDER} SELECT v, core, deg, id FROM ranked",
+        "degeneracy_largest_later": f"{med}{_CORE}{_ORDER} SELECT max(n) AS largest_later FROM (SELECT least(a.id, b.id) AS low, count(*) AS n FROM g JOIN ranked a ON a.v = src JOIN ranked b ON b.v = dst GROUP BY 1)",
+        "k_core_8": f"{med}{_CORE} SELECT src, dst FROM g WHERE src IN (SELECT v FROM cores WHERE core >= 8) AND dst IN (SELECT v FROM cores WHERE core >= 8)",
+        "shell_bins": f"{med}{_CORE}{_ORDER} SELECT v, CAST(floor((id - first) / (floor(n / 4) + 1)) AS INTEGER) AS bin FROM (SELECT v, id, min(id) OVER (PARTITION BY core) AS first, count(*) OVER (PARTITION BY core) AS n FROM ranked)",
+        "dedup_sets": f"{_SETS} SELECT {_TEXT} FROM s",
+        "maximal_sets": f"{_SETS}, one AS MATERIALIZED (SELECT m, unnest(m) AS u FROM s), inner_sets AS (SELECT DISTINCT a.m FROM (SELECT m, m[1] AS u FROM s) a JOIN one b ON a.u = b.u WHERE len(b.m) > len(a.m) AND list_has_all(b.m, a.m)) SELECT {_TEXT} FROM s WHERE m NOT IN (SELECT m FROM inner_sets)",
+        "top2_sets": f"{_SETS} SELECT CAST(row_number() OVER (ORDER BY len(m) DESC, m) AS INTEGER) AS rank, {_TEXT} FROM s ORDER BY len(m) DESC, m LIMIT 2",
+        "quasi_cliques_1_of_4": f"{med}{_CLIQUE} SELECT {_TEXT} FROM maximal WHERE len(m) >= 4",
+    }
+    for name, start in (("maximal_clique_hist", med), ("maximal_clique_hist_by_level", med), ("maximal_clique_hist_app", med), ("noted_clique_hist", noted)):
+        out[name] = f"{start}{_CLIQUE} SELECT CAST(len(m) AS INTEGER) AS size, count(*) AS cliques FROM maximal GROUP BY 1"
+    for q in preset_numbers():
+        out[f"match_q{q}"] = match_sql(preset(q), _BIG if q in LONG else _MED)
+    for q in (2, 8, 24):
+        out[f"match_expand_q{q}"] = match_sql(preset(q), _MED)
+    for q in (5, 14, 25):
+        out[f"match_candidate_q{q}"] = match_sql(preset(q), _BIG)
+    return out
+
+
 _P3 = """
 WITH ends AS (
   SELECT src AS v, CASE WHEN src = dst THEN NULL ELSE dst END AS nbr, file_id FROM edges WHERE src IS NOT NULL
@@ -59,7 +204,7 @@ checked AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return _graph_sql() | {
         "p3_found": _P3 + "SELECT v FROM loads WHERE entries * 100 > (SELECT count(*) FROM edges)",
         "p3_vertex_loads": _P3 + "SELECT v, entries, neighbours FROM loads",
         "p3_max_degree": _P3 + "SELECT max(neighbours) AS max_degree FROM loads",
