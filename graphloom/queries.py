@@ -44,14 +44,6 @@ def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("q0").alias("kernel_id"), F.array("q0", "q1", "q2").alias("members"))
 
 
-#: Presets whose matches are counted on the graph of returned parts; those with long cycles or tails are counted on the smaller graph of large orders.
-LONG = (3, 16, 17)
-
-
-def _graph_of(number: int):  # noqa: ANN202
-    return large_orders_graph if number in LONG else parts_graph
-
-
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "edges_norm": noted_graph,
@@ -96,7 +88,7 @@ def queries() -> dict[str, Query]:
         "split_bins": lambda s, d: cluster.split_bins(parts_graph(s, d), core.shell_bins(parts_graph(s, d), 3), 4),
     }
     for q in preset_numbers():
-        out[f"match_q{q}"] = lambda s, d, q=q: match.prefix_count(_graph_of(q)(s, d), preset(q))
+        out[f"match_q{q}"] = lambda s, d, q=q: match.prefix_count(parts_graph(s, d), preset(q))
     for q in (2, 8, 24):
         out[f"match_expand_q{q}"] = lambda s, d, q=q: match.expand_count(parts_graph(s, d), preset(q))
     for q in (5, 14, 25):
@@ -162,7 +154,7 @@ def _graph_sql() -> dict[str, str]:
     for name, start in (("maximal_clique_hist", med), ("maximal_clique_hist_by_level", med), ("maximal_clique_hist_app", med), ("noted_clique_hist", noted)):
         out[name] = f"{start}{_CLIQUE} SELECT CAST(len(m) AS INTEGER) AS size, count(*) AS cliques FROM maximal GROUP BY 1"
     for q in preset_numbers():
-        out[f"match_q{q}"] = match_sql(preset(q), _BIG if q in LONG else _MED)
+        out[f"match_q{q}"] = match_sql(preset(q), _MED)
     for q in (2, 8, 24):
         out[f"match_expand_q{q}"] = match_sql(preset(q), _MED)
     for q in (5, 14, 25):
