@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.tables import shuffle_partitions
+from graphloom.tables import shuffle_partitions, written
 
 #: Everything that is no letter, mark of a letter, or digit. Variation selectors are invisible, though Unicode counts them as marks.
 NOT_COUNTED = r"[^\p{L}\p{M}\p{Nd}]|[\x{FE00}-\x{FE0F}]"
@@ -53,7 +53,8 @@ def hot_hashes(keyed: DataFrame, rows: int, hot_keys: int = HOT_KEYS) -> list[in
 
 def _split(df: DataFrame, record_id: str, key: Column, hot_keys: int) -> tuple[DataFrame, DataFrame | None]:
     """The records of ordinary keys, and those of hot keys if there are any."""
-    keyed = _keyed(df, record_id, key)
+    # the key is by far the dearest part of a pass over the names, so it is made once
+    keyed = written(_keyed(df, record_id, key))
     hot = hot_hashes(keyed, df.count(), hot_keys)
     if not hot:
         return keyed, None
