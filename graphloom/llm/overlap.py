@@ -21,7 +21,6 @@ from graphloom.tables import written
 
 #: Registers per sketch, as a power of two.
 PRECISION = 12
-LEVELS = 64 - PRECISION + 2
 #: Expected meetings of a pair that shares just the least share: all of them are missed with probability exp(-MEETINGS).
 MEETINGS = 28
 #: Sets per block of sketches compared in one task.
@@ -85,8 +84,8 @@ def meeting_pairs(members: DataFrame, sizes: DataFrame, least_share: float, meet
     return met.select(F.least("_by", "v").alias("a"), F.greatest("_by", "v").alias("b")).distinct()
 
 
-def _levels(m: int) -> np.ndarray:
-    return 1.0 / (m * np.exp2(np.arange(LEVELS)))
+def _levels(m: int, top: int) -> np.ndarray:
+    return 1.0 / (m * np.exp2(np.arange(top)))
 
 
 def _gradient(theta: np.ndarray, c: dict[str, np.ndarray], z: np.ndarray) -> np.ndarray:
@@ -120,23 +119,25 @@ def _gradient(theta: np.ndarray, c: dict[str, np.ndarray], z: np.ndarray) -> np.
 def joint_estimate(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of ``A - B``, ``B - A`` and the intersection for each row of two register arrays, and the standard error of the last.
 
-    Newton steps on the logarithms of the three rates, all pairs at once. The
+    Newton steps on the logarithms of the three rates, all pairs at once, until
+    each has settled to a thousandth. The
     registers enter only by how many pairs of them are (lower, higher), (higher,
     lower) or equal at each level.
     """
     pairs, m = first.shape
-    z = _levels(m)
-    row = np.repeat(np.arange(pairs) * LEVELS, m).reshape(pairs, m)
+    top = int(max(first.max(initial=0), second.max(initial=0))) + 1
+    z = _levels(m, top)
+    row = np.repeat(np.arange(pairs) * top, m).reshape(pairs, m)
 
     def histogram(values: np.ndarray, where: np.ndarray) -> np.ndarray:
-        return np.bincount((row + values)[where], minlength=pairs * LEVELS).reshape(pairs, LEVELS).astype(float)
+        return np.bincount((row + values)[where], minlength=pairs * top).reshape(pairs, top).astype(float)
 
     less, more = first < second, first > second
     c = {"a_low": histogram(first, less), "b_high": histogram(second, less), "a_high": histogram(first, more), "b_low": histogram(second, more), "equal": histogram(first, first == second)}
 
     def alone(counts: np.ndarray) -> np.ndarray:
         """Size of one set from its own registers, as a start."""
-        s = (counts * np.exp2(-np.arange(LEVELS))).sum(1)
+        s = (counts * np.exp2(-np.arange(top))).sum(1)
         raw = 0.7213 / (1 + 1.079 / m) * m * m / s
         empty = counts[:, 0]
         return np.where((raw < 2.5 * m) & (empty > 0), m * np.log(m / np.maximum(empty, 1)), raw)
@@ -147,18 +148,17 @@ def joint_estimate(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, n
     theta = np.log(np.stack([np.maximum(n_a - x, 1.0), np.maximum(n_b - x, 1.0), np.maximum(x, 1.0)], 1))
     eye = np.eye(3)
     damp = np.full(pairs, 1e-3)
-    g = _gradient(theta, c, z)
+    moving = np.arange(pairs)
     for _ in range(40):
-        h = _hessian(theta, c, z)
-        step = np.linalg.solve(-h + damp[:, None, None] * (eye * (np.abs(np.einsum("pii->pi", h))[:, :, None] + 1e-6)), g[:, :, None])[:, :, 0]
-        step = np.clip(step, -1.5, 1.5)
-        ahead = np.clip(theta + step, -6.0, 45.0)
-        g_ahead = _gradient(ahead, c, z)
-        better = np.abs(g_ahead).sum(1) <= np.abs(g).sum(1) * 1.0001 + 1e-9
-        theta = np.where(better[:, None], ahead, theta)
-        g = np.where(better[:, None], g_ahead, g)
-        damp = np.where(better, np.maximum(damp / 4, 1e-9), np.minimum(damp * 8, 1e9))
-        if (np.abs(step).max(1) < 1e-4).all():
+        own = {k: v[moving] for k, v in c.items()}
+        now, g, h = theta[moving], _gradient(theta[moving], own, z), _hessian(theta[moving], own, z)
+        step = np.linalg.solve(-h + damp[moving, None, None] * (eye * (np.abs(np.einsum("pii->pi", h))[:, :, None] + 1e-6)), g[:, :, None])[:, :, 0]
+        ahead = np.clip(now + np.clip(step, -1.5, 1.5), -3.0, 45.0)
+        better = np.abs(_gradient(ahead, own, z)).sum(1) <= np.abs(g).sum(1) * 1.0001 + 1e-9
+        theta[moving] = np.where(better[:, None], ahead, now)
+        damp[moving] = np.where(better, np.maximum(damp[moving] / 4, 1e-9), np.minimum(damp[moving] * 8, 1e9))
+        moving = moving[~better | (np.abs(ahead - now).max(1) >= 1e-3)]
+        if not len(moving):
             break
     sizes = np.exp(theta)
     h = -_hessian(theta, c, z)
@@ -247,7 +247,7 @@ def overlap_report(offsets: DataFrame, cols: DataFrame, least_members: int = 100
     return estimated.select(F.col("a").alias("v_a"), F.col("b").alias("v_b"), "n_a", "n_b", F.round("both").cast("bigint").alias("both"), "error")
 
 
-def found_overlaps(offsets: DataFrame, cols: DataFrame, least_members: int = 100, share: tuple[int, int] = (1, 2), slack: float = 5.0) -> DataFrame:
+def found_overlaps(offsets: DataFrame, cols: DataFrame, least_members: int = 100, share: tuple[int, int] = (1, 2), slack: float = 6.0) -> DataFrame:
     """``(v_a, v_b)``: the pairs that share at least ``share`` of the smaller set.
 
     The estimate keeps the pairs that may reach the share within ``slack``
