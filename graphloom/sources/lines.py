@@ -136,8 +136,12 @@ def repair(line: str, fields: int = FIELDS) -> tuple[int, list[str], str]:
     return cost, edits[::-1], "".join(reversed(text))
 
 
-def _id_valid(text: str) -> bool:
-    return _DIGITS.fullmatch(text) is not None and len(text.lstrip("0")) <= 10 and int(text.lstrip("0") or "0") <= MAX_ID
+def _id(text: str) -> int | None:
+    """The number, None if it is no valid id; of leading zeros there may be thousands."""
+    if _DIGITS.fullmatch(text) is None:
+        return None
+    digits = text.lstrip("0") or "0"
+    return int(digits) if len(digits) <= 10 and int(digits) <= MAX_ID else None
 
 
 def parse_line(line: str) -> Parsed:
@@ -152,9 +156,9 @@ def parse_line(line: str) -> Parsed:
         return Parsed(None, "quoting" if quote_cost(line) else "columns")
     if len(fields) != FIELDS:
         return Parsed(None, "columns")
-    if not _id_valid(fields[0]):
+    if _id(fields[0]) is None:
         return Parsed(None, "begin")
-    if not _id_valid(fields[1]):
+    if _id(fields[1]) is None:
         return Parsed(None, "end")
     return Parsed(tuple(fields), None)
 
@@ -174,7 +178,7 @@ def _parser(with_edits: bool):  # noqa: ANN202
                         _, edits, repaired = repair(line)
                     else:
                         edits = [f"retype {p.reason}"]
-                for column, value in zip(out, (line_id, begin and int(begin), end and int(end), tag, remark, p.reason, edits, repaired), strict=True):
+                for column, value in zip(out, (line_id, begin and _id(begin), end and _id(end), tag, remark, p.reason, edits, repaired), strict=True):
                     column.append(value)
             kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
             names = ("line_id", "begin", "end", "tag", "remark", "reason", "edits", "repaired")
