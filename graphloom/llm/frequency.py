@@ -22,13 +22,16 @@ COMMON_SHARE = (4, 10)
 
 
 def _pairs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One row per term of each row's list, with its number there: the part of the counting that needs no shuffle."""
+    """One row per term and record of a batch, with the term's number there: the part of the counting that needs no shuffle."""
     lists = batch.column(1)
     terms = pc.list_flatten(lists)
     rows = pc.list_parent_indices(lists)
     table = pa.table({"row": rows, "term": terms}).filter(pc.is_valid(terms))
     counted = table.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
-    return pa.RecordBatch.from_arrays([counted.column("term").combine_chunks(), batch.column(0).take(counted.column("row").combine_chunks()), counted.column("count_all").combine_chunks().cast(pa.int64())], ["term", "record", "n"])
+    per_row = pa.table({"term": counted.column("term"), "record": batch.column(0).take(counted.column("row").combine_chunks()), "n": counted.column("count_all").cast(pa.int64())})
+    # deliveries of one record that meet in a batch become one
+    most = per_row.group_by(["term", "record"], use_threads=False).aggregate([("n", "max")])
+    return pa.RecordBatch.from_arrays([most.column(c).combine_chunks() for c in ("term", "record", "n_max")], ["term", "record", "n"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ long ones to shorter ones, until enough of them are known.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -26,6 +27,7 @@ MOST_WORDS = 30_000
 MOST_GRAMS = 120_000
 LONGEST_GRAM = 5
 ROUNDS = 4
+SMALLEST = 0.2
 #: Words that a worker keeps the backed-off score of.
 KEPT_WORDS = 100_000
 #: A sentence whose best language leads by less (natural logarithm of the odds) takes the language of its neighbours.
@@ -39,6 +41,9 @@ _CODE = regex.compile(r"[{}\[\]=<>|#;_+*\\/^&~@$]")
 _MISREAD = regex.compile(r"[Â-ôŒœŠšŸŽžƒ][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™][\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]*")
 
 
+_INVISIBLE = regex.compile(r"[\p{Cf}]")
+
+
 def _reread(m: regex.Match) -> str:
     for encoding in ("latin-1", "cp1252"):
         try:
@@ -49,8 +54,8 @@ def _reread(m: regex.Match) -> str:
 
 
 def repaired(text: str) -> str:
-    """``text`` with UTF-8 that was read as a single-byte encoding put right, where that gives valid UTF-8."""
-    return _MISREAD.sub(_reread, text)
+    """``text`` with UTF-8 that was read as a single-byte encoding put right where that gives valid UTF-8, letters in their composed form, and without invisible characters."""
+    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", _MISREAD.sub(_reread, text)))
 
 
 def is_prose(line: str) -> bool:
@@ -104,56 +109,82 @@ class Model:
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
-    kept: dict[str, tuple[np.ndarray, bool]] = field(default_factory=dict)
+    kept: dict[str, tuple[int, int, int, int, bool]] = field(default_factory=dict)
+    kept_scores: np.ndarray | None = None
+
+    def backed_off(self, word: str) -> tuple[np.ndarray, int]:
+        """Scores of a word by the longest n-grams of which most are known, and their length; 0 if none are.
 
-    def backed_off(self, word: str) -> tuple[np.ndarray, bool]:
-        """Scores of a word by the longest n-grams of which at least half are known, and whether there were any of two characters or more."""
+        Most: half, or of the n-grams of a run of Han characters, which is several words, four in five.
+        """
+        least = 0.8 if _HAN.match(word) else 0.5
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
             all_grams = grams(word, n)
             known = [self.grams[g] for g in all_grams if g in self.grams]
-            if known and 2 * len(known) >= len(all_grams):
-                return self.gram_scores[known].sum(0) / n, n > 1
-        return np.zeros(len(self.languages)), False
-
-    def score(self, word: str) -> tuple[np.ndarray, bool]:
-        found = self.kept.get(word)
-        if found is None:
-            if len(self.kept) > KEPT_WORDS:
-                self.kept.clear()
-            row = self.words.get(word)
-            found = self.kept[word] = (self.word_scores[row], True) if row is not None else (lambda s, known: (s, known and bool(_HAN.match(word))))(*self.backed_off(word))
-        return found
-
-    def sentence(self, text: str) -> tuple[int, float, float] | None:
-        """Language, lead over the second best, and weight of a sentence; None if it is none: it has not two different known words of more than a letter, or hardly any known word among the others."""
-        found = words(text)
+            if known and len(known) >= least * len(all_grams):
+                return self.gram_scores[known].sum(0) / n, n
+        return np.zeros(len(self.languages)), 0
+
+    def _keep(self, word: str) -> tuple[int, int, int, int, bool]:
+        """Where the word's scores are, its weight, how much of that is known and how much only looks like a word, and whether it is more than one letter."""
+        if self.kept_scores is None:
+            self.kept_scores = np.zeros((1024, len(self.languages)))
+        elif len(self.kept) >= len(self.kept_scores):
+            self.kept_scores = np.concatenate([self.kept_scores, np.zeros_like(self.kept_scores)])
+        at, weight, han = len(self.kept), _weight(word), bool(_HAN.match(word))
+        row = self.words.get(word)
+        if row is not None:
+            self.kept_scores[at], known, like = self.word_scores[row], weight, 0
+        else:
+            self.kept_scores[at], n = self.backed_off(word)
+            known, like = (weight if han and n else 0), (weight if n > 2 and not han else 0)
+        out = self.kept[word] = (at, weight, known, like, han or len(word) > 1)
+        return out
+
+    def judge(self, found: list[str]) -> tuple[int, float, float] | None:
+        """Language, lead over the second best, and weight of a sentence of these words; None if it is none: it has not two different known words of more than a letter, or these are under a third, words that only look like some counted half."""
         if not found:
             return None
-        scored = [self.score(w) for w in found]
-        weight = sum(_weight(w) for w in found)
-        known = sum(_weight(w) for w, (_, k) in zip(found, scored, strict=True) if k)
-        different = sum(_weight(w) for w in {w for w, (_, k) in zip(found, scored, strict=True) if k and (len(w) > 1 or _HAN.match(w))})
-        if different < 2 or 3 * known < weight:
+        if len(self.kept) + len(found) > KEPT_WORDS:
+            self.kept.clear()
+        kept = self.kept
+        scored = [kept.get(w) or self._keep(w) for w in found]
+        weight = sum([x[1] for x in scored])
+        known = sum([x[2] for x in scored])
+        if known < 2 or 6 * known + 3 * sum([x[3] for x in scored]) < 2 * weight or sum([x[2] for x in set(scored) if x[4]]) < 2:
             return None
-        total = np.add.reduce([s for s, _ in scored])
-        order = np.argsort(-total, kind="stable")
-        lead = float(total[order[0]] - total[order[1]]) if len(order) > 1 else 50.0
-        return int(order[0]), lead, float(weight)
+        total = self.kept_scores[[x[0] for x in scored]].sum(0)
+        best = int(total.argmax())
+        if len(total) == 1:
+            return best, 50.0, float(weight)
+        top = float(total[best])
+        total[best] = -np.inf
+        return best, top - float(total.max()), float(weight)
+
+    def sentence(self, text: str) -> tuple[int, float, float] | None:
+        return self.judge(words(text))
 
 
 def _scores(counts: dict[str, Counter], languages: list[str], most: int, least: int) -> tuple[dict[str, int], np.ndarray]:
-    """Add-half relative frequencies of the ``most`` frequent keys that occur ``least`` times."""
+    """Logarithms of the relative frequencies of the ``most`` frequent keys that occur ``least`` times.
+
+    What a language lacks has the same small frequency in all, and a language with
+    little text counts as if it had SMALLEST of the largest one's: else its few
+    texts, and the wrong labels among them, would outweigh the others'.
+    """
     total: Counter = Counter()
     for c in counts.values():
         total.update(c)
     chosen = [k for k, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least]
     table = np.array([[counts[lang][k] for lang in languages] for k in chosen], dtype=float).reshape(len(chosen), len(languages))
     sums = np.array([sum(counts[lang].values()) for lang in languages], dtype=float)
-    return {k: i for i, k in enumerate(chosen)}, np.log((table + 0.05) / (sums + 0.05 * max(1, len(chosen)))).astype(np.float64)
+    largest = max(1.0, sums.max(initial=1.0))
+    return {k: i for i, k in enumerate(chosen)}, np.log(table / np.maximum(sums, SMALLEST * largest) + 0.05 / largest)
 
 
 def _model(by_language: dict[str, Counter], languages: list[str]) -> Model:
-    index, scores = _scores(by_language, languages, MOST_WORDS, 3)
+    # a run of Han characters is no word: it is known by its n-grams only
+    index, scores = _scores({lang: Counter({w: n for w, n in by_language[lang].items() if not _HAN.match(w)}) for lang in languages}, languages, MOST_WORDS, 3)
     by_gram: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(LONGEST_GRAM + 1)]
     for lang in languages:
         for word, count in by_language[lang].items():
@@ -173,24 +204,34 @@ def _model(by_language: dict[str, Counter], languages: list[str]) -> Model:
 def fit(labelled: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     """A model from texts with labels of which some are wrong.
 
-    The first round takes each sentence to be in the language of its document's
-    label, the next ones in the language that the model before finds for it, so
-    wrong labels and texts in several languages lose their influence.
+    At first each sentence is taken to be in the language of its document's label.
+    As a long text with a wrong label would speak for many rare words, the first
+    judgement goes by letters too: by the n-grams of words, counted once per text.
+    Then each sentence counts for the language that the model before finds for
+    it, so wrong labels and texts in several languages lose their influence.
     """
     languages = sorted({lang for _, lang in labelled})
-    cut = [(lang, [s for s in map(words, sentences(text)) if s]) for text, lang in labelled]
+    texts = [(lang, [tuple(found) for found in map(words, sentences(text)) if found]) for text, lang in labelled]
+    every = Counter(found for _, all_found in texts for found in all_found)
     counts: dict[str, Counter] = {lang: Counter() for lang in languages}
-    for lang, found in cut:
-        for s in found:
-            counts[lang].update(s)
+    for lang, all_found in texts:
+        counts[lang].update({w for found in all_found for w in found})
     model = _model(counts, languages)
-    for _ in range(rounds):
+    by_letters: dict[str, np.ndarray] = {}
+    for i in range(rounds):
         counts = {lang: Counter() for lang in languages}
-        for _, found in cut:
-            for s in found:
-                known = model.sentence(" ".join(s))
-                if known and known[1] >= LEAST_LEAD:
-                    counts[languages[known[0]]].update(s)
+        for found, n in every.items():
+            judged = model.judge(list(found))
+            if judged and i == 0:
+                for w in found:
+                    if w not in by_letters:
+                        by_letters[w] = model.backed_off(w)[0]
+                total = np.sort(by_total := sum(by_letters[w] for w in found))
+                judged = (int(by_total.argmax()), float(total[-1] - total[-2]) if len(total) > 1 else LEAST_LEAD, judged[2])
+            if judged and judged[1] >= LEAST_LEAD:
+                own = counts[languages[judged[0]]]
+                for w in found:
+                    own[w] += n
         model = _model(counts, languages)
     return model
 
