@@ -5,31 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import arcs, degrees, recoded, two_hop
+from graphloom.operators.graph import arcs, degrees, numbered, recoded, two_hop
 from graphloom.tables import written
 
 
-def core_numbers(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+#: When at most this part of the vertices changed in a round, the next one looks only at their neighbours.
+FEW = 0.1
+#: With fewer arcs a whole round costs less than finding the arcs it needs.
+WORTH = 2_000_000
+
+
+def _lowered(step: DataFrame, now: DataFrame) -> DataFrame:
+    """``(v, was, core)`` for the ends of ``step``: the largest h such that h neighbours have h or more, no more than before.
+
+    Neighbours are counted per vertex and value before the shuffle, so those of a hub never meet as a list.
+    """
+    theirs = now.select(F.col("v").alias("dst"), F.col("core").alias("_theirs"))
+    mine = now.select(F.col("v").alias("src"), F.col("core").alias("was"))
+    counts = step.join(theirs, "dst").join(mine, "src").groupBy(F.col("src").alias("v"), "was", F.least("_theirs", "was").alias("_value")).agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("v").orderBy(F.desc("_value")))
+    return counts.withColumn("_h", F.least("_value", above)).groupBy("v", "was").agg(F.max("_h").alias("core"))
+
+
+def core_numbers(edges: DataFrame, most_rounds: int = 10_000, worth: int = WORTH) -> DataFrame:
     """``(v, core)``: the largest k such that v is in a subgraph of minimum degree k.
 
-    Starts from the degrees; each round lowers a vertex to the largest h such that
-    h of its neighbours have h or more. What is stable is the core number. A round
-    counts neighbours per vertex and value before the shuffle, so a hub's
-    neighbours never meet as a list.
+    Starts from the degrees; each round lowers the vertices to what their
+    neighbours allow, until nothing changes. Once few vertices change, a round
+    over many arcs reads only those of their neighbours; the result is the same.
     """
-    deg = degrees(edges)
     step = written(arcs(edges))
-    now = written(deg.select("v", F.col("deg").alias("core")))
+    now = written(step.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("core")))
+    vertices, many, few = now.count(), step.count() >= worth, None
     for _ in range(most_rounds):
-        of = now.select(F.col("v").alias("dst"), F.col("core").alias("_theirs"))
-        mine = now.select(F.col("v").alias("src"), F.col("core").alias("_mine"))
-        counts = step.join(of, "dst").join(mine, "src").groupBy(F.col("src").alias("v"), "_mine", F.least("_theirs", "_mine").alias("_value")).agg(F.count("*").alias("_n"))
-        above = F.sum("_n").over(Window.partitionBy("v").orderBy(F.desc("_value")))
-        ahead = written(counts.withColumn("_h", F.least("_value", above)).groupBy("v", "_mine").agg(F.max("_h").alias("core")))
-        same = ahead.where(F.col("core") < F.col("_mine")).isEmpty()
-        now = ahead.select("v", "core")
-        if same:
+        part = step
+        if few is not None:
+            touched = step.join(few, "dst", "left_semi").select("src").distinct()
+            part = step.join(touched, "src", "left_semi")
+        ahead = written(_lowered(part, now))
+        changed = ahead.where(F.col("core") < F.col("was")).select(F.col("v").alias("dst"))
+        number = changed.count()
+        if few is None:
+            now = ahead.select("v", "core")
+        elif number:
+            new = ahead.select("v", F.col("core").alias("_new"))
+            now = written(now.join(new, "v", "left").select("v", F.coalesce("_new", "core").alias("core")))
+        if not number:
             return now
+        few = changed if many and number <= FEW * vertices else None
     raise ValueError(f"not stable after {most_rounds} rounds")
 
 
@@ -42,17 +65,9 @@ def core_histogram(edges: DataFrame) -> DataFrame:
 
 
 def degeneracy_order(edges: DataFrame) -> DataFrame:
-    """``(v, core, deg, id)``: ids 0, 1, ... by core, then degree, then v.
-
-    Counted per (core, degree), a table of few rows, whose running sum is where
-    each such class begins; within a class the ranks are by v.
-    """
+    """``(v, core, deg, id)``: ids 0, 1, ... by core, then degree, then v."""
     ranked = written(core_numbers(edges).join(degrees(edges), "v"))
-    sizes = ranked.groupBy("core", "deg").agg(F.count("*").alias("_n"))
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("core", "deg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("core", "deg").orderBy("v")) - 1
-    placed = ranked.withColumn("_rank", rank).join(sizes.select("core", "deg", base.alias("_base")), ["core", "deg"])
-    return placed.select("v", "core", "deg", (F.col("_base") + F.col("_rank")).cast("bigint").alias("id"))
+    return numbered(ranked, "v", "id", ("core", "deg")).select("v", "core", "deg", "id")
 
 
 def degeneracy_recoded(edges: DataFrame) -> DataFrame:

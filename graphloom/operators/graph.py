@@ -65,21 +65,24 @@ def dense_ids(edges: DataFrame) -> DataFrame:
     return numbered(v, "v", "id")
 
 
-def numbered(df: DataFrame, by: str, name: str, slice_bits: int = 12) -> DataFrame:
-    """``df`` with ``name``, the rank of the distinct number ``by`` from 0, by slices of its values.
+def numbered(df: DataFrame, by: str, name: str, classes: tuple[str, ...] = (), slice_bits: int = 12) -> DataFrame:
+    """``df`` with ``name``, the rank from 0 of its rows by ``classes`` and then by the number ``by``, which together are distinct.
 
-    Slices hold ``2**slice_bits`` values each, so their counts are that much
-    fewer than the values; these are added up in one ordered pass.
+    Slices hold ``2**slice_bits`` values of ``by`` of one class, blocks as many
+    slices. Ranks are made within slices and slices summed within blocks; only the
+    counts of blocks, about one for ``2**(2 * slice_bits)`` ids and class, are
+    ordered in one place.
     """
     sliced = df.withColumn("_slice", F.shiftright(F.col(by).cast("bigint"), slice_bits))
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
+    counts = sliced.groupBy(*classes, "_slice").agg(F.count("*").alias("_n"))
     coarse = counts.withColumn("_block", F.shiftright("_slice", slice_bits))
-    blocks = coarse.groupBy("_block").agg(F.sum("_n").alias("_m"))
-    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    block_base = blocks.select("_block", F.coalesce(F.sum("_m").over(ahead(Window.orderBy("_block"))), F.lit(0)).alias("_block_base"))
-    slice_base = coarse.join(block_base, "_block").select("_slice", (F.col("_block_base") + F.coalesce(F.sum("_n").over(ahead(Window.partitionBy("_block").orderBy("_slice"))), F.lit(0))).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_slice").orderBy(by)) - 1
-    return sliced.withColumn("_rank", rank).join(slice_base, "_slice").withColumn(name, (F.col("_base") + F.col("_rank")).cast("bigint")).drop("_slice", "_rank", "_base")
+    blocks = coarse.groupBy(*classes, "_block").agg(F.sum("_n").alias("_m"))
+    before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    block_base = blocks.select(*classes, "_block", before("_m", Window.orderBy(*classes, "_block")).alias("_block_base"))
+    in_block = before("_n", Window.partitionBy(*classes, "_block").orderBy("_slice"))
+    slice_base = coarse.join(block_base, [*classes, "_block"]).select(*classes, "_slice", (F.col("_block_base") + in_block).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy(*classes, "_slice").orderBy(by)) - 1
+    return sliced.withColumn("_rank", rank).join(slice_base, [*classes, "_slice"]).withColumn(name, (F.col("_base") + F.col("_rank")).cast("bigint")).drop("_slice", "_rank", "_base")
 
 
 def recoded(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,6 +136,12 @@ def degree_order(edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
     return both.select(F.when(ahead, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(ahead, F.col("dst")).otherwise(F.col("src")).alias("dst"))
 
 
+def degree_recoded(edges: DataFrame) -> DataFrame:
+    """Normalised edges numbered densely by degree, then id: counts of patterns don't change, but in the order of the numbers a hub comes last, so few lists start at it."""
+    ids = numbered(degrees(edges), "v", "id", ("deg",)).select("v", "id")
+    return recoded(edges, ids)
+
+
 def split_by_order(adj: DataFrame) -> DataFrame:
     """``(v, later, earlier)``: the neighbours above and below ``v`` of ``adj(v, nbrs)``."""
     return adj.select("v", F.filter("nbrs", lambda x: x > F.col("v")).alias("later"), F.filter("nbrs", lambda x: x < F.col("v")).alias("earlier"))

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import adjacency, arcs, degree_order, degrees
-from graphloom.plans.matchplan import PREFIX, Level, MatchPlan, filter_order, plan, tree
+from graphloom.operators.graph import adjacency, arcs, degree_order, degree_recoded, degrees
+from graphloom.plans.matchplan import PREFIX, Level, MatchPlan, filter_order, one_sided, plan, side_needed, tree
 from graphloom.plans.pattern import Pattern
 from graphloom.tables import written
 
@@ -66,18 +66,24 @@ def _held(name: frozenset[int]) -> str:
 def _walk(edges: DataFrame, mp: MatchPlan) -> DataFrame:
     """Rows of all vertices but the last, and ``ext``, the list of what the last can be.
 
-    A vertex's neighbour list is joined in when it is bound and dropped after the
-    last level that looks at it. An intersection of lists that later levels need
+    A vertex's neighbour list, or the part of it that the order conditions leave,
+    is joined in when it is bound and dropped after the last level that looks at it. An intersection of lists that later levels need
     too is kept beside the row and taken from there.
     """
     adj = written(adjacency(edges).select("v", "nbrs"))
     levels = mp.levels
 
+    def lists_of(u: int) -> DataFrame:
+        side = side_needed(mp, u)
+        nbrs = F.col("nbrs") if side == "all" else F.filter("nbrs", lambda x: x > F.col("v") if side == "above" else x < F.col("v"))
+        lists = adj.select(F.col("v").alias(f"q{u}"), nbrs.alias(_nb(u)))
+        return lists if side == "all" else lists.where(F.size(_nb(u)) > 0)
+
     def with_list(rows: DataFrame, u: int) -> DataFrame:
-        return rows.join(adj.select(F.col("v").alias(f"q{u}"), F.col("nbrs").alias(_nb(u))), f"q{u}")
+        return rows.join(lists_of(u), f"q{u}")
 
     u = levels[0].vertex
-    rows = adj.select(F.col("v").alias(f"q{u}"), F.col("nbrs").alias(_nb(u)))
+    rows = lists_of(u)
     pending: list[int] = []  # levels whose extensions are still lists
     held: set[frozenset[int]] = set()  # intersections kept
 
@@ -130,6 +136,28 @@ def prefix_count(edges: DataFrame, p: Pattern, strategy: str = "hybrid") -> Data
     return _walk(edges, plan(p, strategy)).agg(F.coalesce(F.sum(F.size("ext").cast("bigint")), F.lit(0)).alias("n"))
 
 
+#: A graph is uneven when its largest degree is more than so many times the mean.
+UNEVEN = 16
+#: Entries that the list at the end of an arc may have on average, for lists to travel in rows.
+MEAN_LIST = 256
+
+
+def match_count(edges: DataFrame, p: Pattern, mean_list: float = MEAN_LIST) -> DataFrame:
+    """``(n)``: the number of matches, by lists of extensions or edge by edge.
+
+    The vertices of an uneven graph are numbered by degree first, which leaves the
+    number of matches as it is and lets the order conditions turn away from hubs.
+    Lists are taken if the pattern only needs the neighbours on one side of each
+    vertex, which are few then, or if the whole lists are short: an arc's end has
+    sum(deg^2) / sum(deg) neighbours on average. Otherwise no list leaves its vertex.
+    """
+    own = written(edges)
+    most, mean, squares = degrees(own).agg(F.max("deg"), F.avg("deg"), F.sum(F.col("deg") * F.col("deg")) / F.sum("deg")).first()
+    if most and most > UNEVEN * mean:
+        own = written(degree_recoded(own))
+    return prefix_count(own, p) if one_sided(plan(p)) or (squares or 0) <= mean_list else expand_count(own, p)
+
+
 def expand_count(edges: DataFrame, p: Pattern) -> DataFrame:
     return expand_rows(edges, p).agg(F.count("*").alias("n"))
 

@@ -35,6 +35,18 @@ class MatchPlan:
         return {b for x in self.levels[level + 1 :] for b in x.backward}
 
 
+def side_needed(mp: MatchPlan, w: int) -> str:
+    """Which neighbours of a matched vertex the plan ever looks for: only ``above`` or ``below`` it, or ``all``."""
+    users = [x for x in mp.levels if w in x.backward]
+    if all(w in x.greater for x in users):
+        return "above"
+    return "below" if all(w in x.less for x in users) else "all"
+
+
+def one_sided(mp: MatchPlan) -> bool:
+    return all(side_needed(mp, w) != "all" for w in mp.order)
+
+
 def radius(p: Pattern, root: int) -> int:
     """Levels below ``root``; one more if an edge lies within the last of them."""
     level = levels_from(p, root)

@@ -56,6 +56,8 @@ def queries() -> dict[str, Query]:
         "two_hop_count": lambda s, d: graph.two_hop(parts_graph(s, d)).agg(F.count("*").alias("n")),
         "three_hop_count": lambda s, d: graph.k_hop(large_orders_graph(s, d), graph.degrees(large_orders_graph(s, d)), 3).agg(F.count("*").alias("n")),
         "split_by_order": lambda s, d: graph.split_by_order(graph.adjacency(parts_graph(s, d))).select("v", F.size("later").cast("bigint").alias("later"), F.size("earlier").cast("bigint").alias("earlier")),
+        "noted_match_q0": lambda s, d: match.match_count(noted_graph(s, d), preset(0)),
+        "noted_match_q24": lambda s, d: match.match_count(noted_graph(s, d), preset(24)),
         "noted_triangles": lambda s, d: match.triangles(noted_graph(s, d)).agg(F.count("*").alias("n")),
         "match_rows_q0": lambda s, d: match.prefix_rows(parts_graph(s, d), preset(0)),
         "match_rows_q24": lambda s, d: match.prefix_rows(parts_graph(s, d), preset(24)),
@@ -88,7 +90,7 @@ def queries() -> dict[str, Query]:
         "split_bins": lambda s, d: cluster.split_bins(parts_graph(s, d), core.shell_bins(parts_graph(s, d), 3), 4),
     }
     for q in preset_numbers():
-        out[f"match_q{q}"] = lambda s, d, q=q: match.prefix_count(parts_graph(s, d), preset(q))
+        out[f"match_q{q}"] = lambda s, d, q=q: match.match_count(parts_graph(s, d), preset(q))
     for q in (2, 8, 24):
         out[f"match_expand_q{q}"] = lambda s, d, q=q: match.expand_count(parts_graph(s, d), preset(q))
     for q in (5, 14, 25):
@@ -133,6 +135,8 @@ def _graph_sql() -> dict[str, str]:
         "three_hop_count": f"{big}, one AS MATERIALIZED (SELECT v AS s, v FROM deg UNION SELECT src, dst FROM arc), two AS MATERIALIZED (SELECT s, v FROM one UNION SELECT s, dst FROM one JOIN arc ON src = v) SELECT count(*) AS n FROM (SELECT s, v FROM two UNION SELECT s, dst FROM two JOIN arc ON src = v)",
         "split_by_order": f"{med} SELECT src AS v, count(*) FILTER (dst > src) AS later, count(*) FILTER (dst < src) AS earlier FROM arc GROUP BY src",
         "noted_triangles": match_sql(preset(0), _NOTED),
+        "noted_match_q0": match_sql(preset(0), _NOTED),
+        "noted_match_q24": match_sql(preset(24), _NOTED),
         "match_rows_q0": match_sql(preset(0), _MED, rows=True),
         "match_rows_q24": match_sql(preset(24), _MED, rows=True),
         "ldf_candidates_q14": f"{med} SELECT CAST(u AS INTEGER) AS u, v FROM (VALUES " + ", ".join(f"({u}, {preset(14).degree(u)})" for u in range(7)) + ") p(u, least_deg) JOIN deg ON deg >= least_deg",

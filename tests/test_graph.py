@@ -140,6 +140,10 @@ def test_cores(some):
     edges, near, df = some
     want = peel(near)
     assert dict(map(tuple, core.core_numbers(df).collect())) == want
+    # a long path changes a few vertices in each of many rounds
+    path = edges_of(df.sparkSession, [(i, i + 1) for i in range(40)] + [(100 + a, 100 + b) for a, b in combinations(range(5), 2)])
+    assert {r.v: r.core for r in core.core_numbers(path, worth=0).collect()} == {**dict.fromkeys(range(41), 1), **dict.fromkeys(range(100, 105), 4)}
+    assert dict(map(tuple, core.core_numbers(df, worth=0).collect())) == want
     order = sorted(near, key=lambda v: (want[v], len(near[v]), v))
     assert {r.v: r.id for r in core.degeneracy_order(df).collect()} == {v: i for i, v in enumerate(order)}
     k = max(want.values())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import match
 from graphloom.operators.graph import copurchase
-from graphloom.plans.matchplan import before_and_at, candidate_order, choose_root, filter_order, plan, radius, search_order, tree
+from graphloom.plans.matchplan import before_and_at, candidate_order, choose_root, filter_order, one_sided, plan, radius, search_order, side_needed, tree
 from graphloom.plans.pattern import PRESETS, Pattern, as_text, brute_force, preset, preset_numbers, remapped, sampled_patterns
 from graphloom.tables import written
 
@@ -127,7 +127,18 @@ def test_rows_and_candidates(spark, large_orders):
     assert match.ldf_candidates(large_orders, p, labels, [1] * 5).join(labels, "v").where("label = 0").count() == 0
 
 
+def test_count_on_an_uneven_graph(spark, large_orders):
+    hub = large_orders.selectExpr("explode(array(src, dst)) as src", "3000000000 as dst").distinct().union(large_orders)
+    edges = written(hub)
+    assert one_sided(plan(preset(24))) and side_needed(plan(preset(24)), 0) == "above" and not one_sided(plan(preset(2)))
+    for q in (0, 2, 24):
+        n = match.prefix_count(edges, preset(q)).first()[0]
+        assert match.match_count(edges, preset(q)).first()[0] == n == match.match_count(edges, preset(q), mean_list=3).first()[0]
+        assert match.match_count(large_orders, preset(q)).first()[0] == COUNTS[q]
+
+
 def test_no_edges(spark):
+    assert match.match_count(frame(spark, []), preset(0)).first()[0] == 0
     none = frame(spark, [])
     assert match.prefix_count(none, preset(24)).first()[0] == 0
     assert match.expand_count(none, preset(2)).first()[0] == 0
