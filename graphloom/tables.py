@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,12 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
     if not found:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        folder = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         sc.setCheckpointDir(found)
     return found
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    local = path.removeprefix("file://")
+    if os.path.isdir(local):
+        shutil.rmtree(local, ignore_errors=True)
+        return
     try:
         jvm = spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
