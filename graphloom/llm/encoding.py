@@ -40,7 +40,11 @@ class Encoder:
     def __init__(self, vocabulary: bytes, pattern: str = WORDS, kept_words: int = KEPT_WORDS) -> None:
         self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
         self.tokens = {i: t for t, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        ends: dict[int, set[int]] = {}
+        for token in self.ids:
+            ends.setdefault(token[-1], set()).add(len(token))
+        #: By last byte the lengths of the tokens that end with it, longest first.
+        self.lengths = {byte: sorted(lengths, reverse=True) for byte, lengths in ends.items()}
         self.pattern = regex.compile(pattern)
         self.words = self.pattern.findall
         self.kept: dict[str, tuple[int, ...]] = {}
@@ -67,7 +71,10 @@ class Encoder:
     def _last_token(self, word: bytes, end: int, last: list[int]) -> int:
         """The one token that the encoding of ``word[:end]`` ends with, given those of the shorter prefixes."""
         ids = self.ids
-        for start in range(max(0, end - self.longest), end):
+        for length in self.lengths.get(word[end - 1], ()):
+            start = end - length
+            if start < 0:
+                continue
             token = ids.get(word[start:end])
             if token is not None and (start == 0 or self.may_follow(last[start], token)):
                 return token
