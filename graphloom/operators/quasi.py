@@ -131,15 +131,17 @@ def common_two_hop(near: DataFrame, kernels: DataFrame) -> DataFrame:
 def kernel_expand(edges: DataFrame, kernels: DataFrame, share: tuple[int, int], least_size: int, first: int | None = None) -> DataFrame:
     """``(members)``: the maximal quasi-cliques of at least ``least_size`` around the kernels ``(kernel_id, members)``, each containing one of them.
 
-    With ``first`` only the kernels of the ``first`` smallest ids count. A kernel with a member
-    that the pruning takes away, or that has none, gives nothing.
+    Kernels are told apart by their members: ids may repeat or be null. With ``first`` only
+    the ``first`` kernels in the order of id and members count. A kernel with a member that
+    the pruning takes away, or that has none, gives nothing.
     """
     _checked(share)
     if first is not None:
-        kernels = kernels.orderBy("kernel_id").limit(first)
+        kernels = kernels.orderBy("kernel_id", "members").limit(first)
     core = written(dense_core(edges, needed(share, least_size), least_size - 1))
     near = written(two_hop(core))
-    given = written(kernels.select("kernel_id", F.array_sort(F.array_distinct("members")).alias("members")))
+    sets = kernels.select(F.array_sort(F.array_distinct("members")).alias("members")).distinct()
+    given = written(sets.select(F.monotonically_increasing_id().alias("kernel_id"), "members"))
     inside = written(common_two_hop(near, given).union(given.select("kernel_id", F.explode("members").alias("v"))))
     both = core.join(inside.select("kernel_id", F.col("v").alias("src")), "src").join(inside.select("kernel_id", F.col("v").alias("dst")), ["kernel_id", "dst"])
     rows = both.join(given, "kernel_id").select(F.col("kernel_id").alias("id"), F.col("members").alias("fixed"), F.col("src").alias("u"), F.col("dst").alias("w"))

@@ -41,7 +41,7 @@ def order_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three-vertex cliques of the graph of large orders, as kernels."""
     found = match.prefix_rows(large_orders_graph(spark, sf_dir), preset(23))
-    return found.select(F.col("q0").alias("kernel_id"), F.array("q0", "q1", "q2").alias("members"))
+    return found.select(F.xxhash64("q0", "q1", "q2").alias("kernel_id"), F.array("q0", "q1", "q2").alias("members"))
 
 
 def queries() -> dict[str, Query]:

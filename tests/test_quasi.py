@@ -3,6 +3,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.operators import quasi
 from graphloom.operators.cliques import maximal_cliques
 from graphloom.operators.graph import copurchase
@@ -58,6 +59,16 @@ def test_kernels(spark, large_orders):
     assert found == {s for s in all_found if set(some[:2]) <= set(s)}
 
 
+def test_kernels_of_all_triangles_give_all(spark, large_orders):
+    folder = SMALL.rsplit("/", 1)[0]
+    kernels = queries.kernels(spark, folder)
+    assert kernels.select("kernel_id").distinct().count() == kernels.count() == 226
+    whole = {tuple(r.members) for r in quasi.quasi_cliques(large_orders, (4, 5), 4).collect()}
+    one_id = kernels.withColumn("kernel_id", F.lit(0).cast("long"))
+    assert {tuple(r.members) for r in quasi.kernel_expand(large_orders, one_id, (4, 5), 4).collect()} == whole
+    assert len(whole) == queries.queries()["kernel_expand"](spark, folder).count() == 23
+
+
 def test_refuses_small_shares(large_orders):
     with pytest.raises(ValueError):
         quasi.quasi_cliques(large_orders, (2, 5), 4)
