@@ -77,9 +77,11 @@ def meeting_pairs(members: DataFrame, sizes: DataFrame, least_share: float, meet
     set with fewer members looks up all of them. Members are drawn anew for every
     set, so a member that most sets have is looked up by few of them. Pairs that
     share more than ``least_share`` are missed with probability
-    ``exp(-meetings)`` each (never, if the smaller set is looked up whole).
+    ``exp(-meetings)`` each (never, if the smaller set is looked up whole). With
+    a ``least_share`` of zero every set is: these are all pairs that share a member.
     """
-    anchors = members.join(sizes, "v").where(_unit(F.col("nbr"), F.col("v")) * F.col("n") < meetings / least_share).select(F.col("v").alias("_by"), "nbr", F.col("n").alias("_n_by"))
+    lookups = meetings / least_share if least_share else math.inf
+    anchors = members.join(sizes, "v").where(_unit(F.col("nbr"), F.col("v")) * F.col("n") < lookups).select(F.col("v").alias("_by"), "nbr", F.col("n").alias("_n_by"))
     met = anchors.join(members.join(sizes, "v"), "nbr").where((F.col("_n_by") < F.col("n")) | ((F.col("_n_by") == F.col("n")) & (F.col("_by") < F.col("v"))))
     return met.select(F.least("_by", "v").alias("a"), F.greatest("_by", "v").alias("b")).distinct()
 
@@ -229,7 +231,7 @@ def overlaps(offsets: DataFrame, cols: DataFrame, least_members: int = 100, leas
 
     Pairs: ``(a, b, n_a, n_b, only_a, only_b, both, error)``. Pairs that share
     less than ``least_share`` of the smaller set may be left out, the others are
-    there (see ``meeting_pairs``).
+    there (see ``meeting_pairs``); with zero all that share a member are.
     """
     all_members = written(slices_to_members(offsets, cols, least_members))
     sizes = written(all_members.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") >= least_members))
@@ -241,8 +243,11 @@ def overlaps(offsets: DataFrame, cols: DataFrame, least_members: int = 100, leas
     return estimated.join(n_of("a"), "a").join(n_of("b"), "b"), members, sizes
 
 
-def overlap_report(offsets: DataFrame, cols: DataFrame, least_members: int = 100, least_share: float = 0.1) -> DataFrame:
-    """``(v_a, v_b, n_a, n_b, both, error)`` of the pairs that share about ``least_share`` of the smaller set or more, estimated."""
+def overlap_report(offsets: DataFrame, cols: DataFrame, least_members: int = 100, least_share: float = 0.0) -> DataFrame:
+    """``(v_a, v_b, n_a, n_b, both, error)`` of all pairs that share a member, ``both`` estimated.
+
+    With a ``least_share`` above zero pairs that share less of the smaller set may be left out.
+    """
     estimated, _, _ = overlaps(offsets, cols, least_members, least_share)
     return estimated.select(F.col("a").alias("v_a"), F.col("b").alias("v_b"), "n_a", "n_b", F.round("both").cast("bigint").alias("both"), "error")
 

@@ -64,6 +64,13 @@ def test_estimates(spark, some_sets):
         assert abs(r.both - len(some_sets[a] & some_sets[b])) <= 6 * r.error
 
 
+def test_report_has_every_pair_that_shares_a_member(spark):
+    sets = {v: {0, *range(10_000 * v + 1, 10_000 * v + 2000 + v)} for v in range(1, 9)} | {9: set(range(100_000, 102_000))}
+    rows = {(r.v_a, r.v_b): r for r in overlap.overlap_report(*tables(spark, sets)).collect()}
+    assert set(rows) == set(combinations(range(1, 9), 2))
+    assert all(abs(r.both - 1) <= 6 * r.error for r in rows.values())
+
+
 def test_joint_estimate_is_close():
     rng = np.random.default_rng(0)
     m = 1 << overlap.PRECISION
