@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,25 +106,25 @@ def pieces(counts: DataFrame, bins: DataFrame) -> DataFrame:
     return cut.select("bin_kind", "capacity", "doc_id", first, F.least("capacity", F.col("_all") - first).alias("tokens"))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs each run of up to GROUP rows of one kind and group; the partition is sorted by both."""
-    held: list[tuple] = []
+def _packer(group: int):  # noqa: ANN202
+    """Packs the rows of each kind and group, the partition being sorted by both; of more than ``group`` every so-manyth row goes together."""
 
-    def packed() -> pa.RecordBatch:
+    def packed(held: list[tuple]) -> pa.RecordBatch:
         kind, _, capacity = held[0][:3]
         containers = fill([r[5] for r in held], capacity)
         names = [min((held[i][3], held[i][4]) for i in c) for c in containers]
         rows = [(kind, f"{kind}-{name[0]}-{name[1]}", *held[i][3:]) for c, name in zip(containers, names, strict=True) for i in c]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["bin_kind", "container", "doc_id", "first_token", "tokens"])
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (row[:2] != held[0][:2] or len(held) == GROUP):
-                yield packed()
-                held = []
-            held.append(row)
-    if held:
-        yield packed()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, same in groupby(rows, key=lambda r: r[:2]):
+            held = list(same)
+            parts = math.ceil(len(held) / group)
+            for i in range(parts):
+                yield packed(held[i::parts])
+
+    return run
 
 
 def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
@@ -131,8 +132,9 @@ def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
 
     ``counts`` has ``(doc_id, tokens)``. Pieces that fill a container are alone in
     it and need no packing. The others fall by a hash of text and piece into
-    groups of about ``group``, packed one by one, so no task sees more than a
-    group at once, and the result doesn't depend on the number of tasks. A
+    groups of about ``group``, and one that has more is split evenly over all
+    sizes. They are packed one by one, so a task holds only the rows of one hash
+    at once, and the result doesn't depend on the number of tasks. A
     container is named by its kind and its first piece. Repeated rows of
     ``counts`` are placed as often as they come; they may share a name, though a
     repeated doc_id is against the data's definition. Null counts count as none.
@@ -145,7 +147,7 @@ def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
     grouped = rest.select("bin_kind", F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(groups)).alias("_group"), "capacity", "doc_id", "first_token", "tokens")
     tasks = max(shuffle_partitions(counts.sparkSession), 1)
     ordered = grouped.repartition(tasks, "bin_kind", "_group").sortWithinPartitions("bin_kind", "_group", "tokens", "doc_id", "first_token")
-    shared = ordered.mapInArrow(_pack, "bin_kind string, container string, doc_id bigint, first_token bigint, tokens bigint")
+    shared = ordered.mapInArrow(_packer(group), "bin_kind string, container string, doc_id bigint, first_token bigint, tokens bigint")
     return alone.unionByName(shared)
 
 

@@ -81,6 +81,21 @@ def test_same_result_for_any_number_of_tasks(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+def test_an_overflowing_group_is_split_over_all_sizes():
+    sizes = sorted([60] * 20 + [40] * 20)
+    columns = [["a"] * 40, [0] * 40, [100] * 40, list(range(40)), [0] * 40, sizes]
+    names = ["bin_kind", "_group", "capacity", "doc_id", "first_token", "tokens"]
+    batches = [packing.pa.RecordBatch.from_arrays([packing.pa.array(c[i : i + 16]) for c in columns], names) for i in range(0, 40, 16)]
+    out = [r for b in packing._packer(20)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(r["doc_id"] for r in out) == list(range(40))
+    assert len({r["container"] for r in out}) == 20  # 30 if the largest are packed apart
+
+
+def test_a_group_of_any_size_is_packed_as_one(spark):
+    rows = place(spark, [(i, 40 + i % 2 * 20, 0) for i in range(2200)], bins=[("a", 100, 0)], group=2200)
+    assert len({r.container for r in rows}) == 1100
+
+
 def test_no_texts_or_no_bins(spark):
     assert place(spark, [(1, None, 0)]) == []
     assert place(spark, [(1, 5, 0)], bins=[("z", None, 0), ("y", 0, 0)]) == []
