@@ -8,10 +8,12 @@ long ones to shorter ones, until enough of them are known.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,10 @@ MOST_GRAMS = 120_000
 LONGEST_GRAM = 5
 ROUNDS = 4
 SMALLEST = 0.2
+#: Part of a word's n-grams that must be known for them to count, and of those of a run of Han characters.
+KNOWN, HAN_KNOWN = 0.5, 0.8
+#: Sentences judged together.
+AT_ONCE = 20_000
 #: Words that a worker keeps the backed-off score of.
 KEPT_WORDS = 100_000
 #: A sentence whose best language leads by less (natural logarithm of the odds) takes the language of its neighbours.
@@ -35,9 +41,13 @@ LEAST_LEAD = 2.0
 
 _WORD = regex.compile(r"\p{Han}+|(?<![\p{L}\p{M}\p{N}_])\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*(?![\p{L}\p{N}_])")
 _HAN = regex.compile(r"\p{Han}")
-_LETTERS = regex.compile(r"[\p{L}\p{M}]")
-_BREAK = regex.compile(r"""(?<=[.?!…][)"'”’»\]]*)(?=\s)|(?<=[。？！])""")
-_CODE = regex.compile(r"[{}\[\]=<>|#;_+*\\/^&~@$]")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+# the same as the two above for texts of ASCII only, in the faster engine
+_ASCII_WORD = re.compile(r"(?<![a-z0-9_])[a-z]+(?:'[a-z]+)*(?![a-z0-9_])")
+_ASCII_LETTERS = re.compile(r"[A-Za-z]+")
+_LINE = re.compile("\r\n|[\r\n\u2028\u2029\x85\x0b\x0c]")
+_BREAK = re.compile(r"""[.?!…][)"'”’»\]]*(?=\s)|[。？！]""")
+_CODE = re.compile(r"[{}\[\]=<>|#;_+*\\/^&~@$]")
 _MISREAD = regex.compile(r"[Â-ôŒœŠšŸŽžƒ][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™][\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘-‚“-„†-•…‰‹›€™]*")
 
 
@@ -60,19 +70,30 @@ def repaired(text: str) -> str:
 
 def is_prose(line: str) -> bool:
     """Whether a line may hold sentences, and is no code, table, numbers or graph line."""
-    letters, symbols, filled = len(_LETTERS.findall(line)), len(_CODE.findall(line)), len("".join(line.split()))
-    return filled > 0 and letters >= 0.5 * filled and symbols <= 0.12 * filled
+    filled = len("".join(line.split()))
+    if not filled or len(_CODE.findall(line)) > 0.12 * filled:
+        return False
+    return len("".join((_ASCII_LETTERS if line.isascii() else _LETTERS).findall(line))) >= 0.5 * filled
+
+
+def _cut(paragraph: str) -> Iterator[str]:
+    """The sentences of a paragraph: a full stop and its closing marks end one before white space, a wide one anywhere."""
+    at = 0
+    for m in _BREAK.finditer(paragraph):
+        yield paragraph[at : m.end()]
+        at = m.end()
+    yield paragraph[at:]
 
 
 def sentences(text: str) -> list[str]:
     """The candidates for sentences, in reading order; blank lines and lines that are no prose end one, other line breaks don't."""
     out: list[str] = []
     held: list[str] = []
-    for line in [*regex.split(r"\r\n|[\r\n  \x85\x0b\x0c]", repaired(text)), ""]:
+    for line in [*_LINE.split(repaired(text)), ""]:
         if is_prose(line):
             held.append(line)
         elif held and (not line.strip() or not _continues(line)):
-            out += [s for s in _BREAK.split(" ".join(held)) if s and not s.isspace()]
+            out += [s for s in _cut(" ".join(held)) if s and not s.isspace()]
             held = []
         elif held:
             held.append(line)
@@ -85,6 +106,8 @@ def _continues(line: str) -> bool:
 
 
 def words(sentence: str) -> list[str]:
+    if sentence.isascii():
+        return _ASCII_WORD.findall(sentence.lower())
     return [w.replace("’", "'") for w in _WORD.findall(sentence.lower())]
 
 
@@ -100,6 +123,42 @@ def grams(word: str, n: int) -> list[str]:
     return [word[i : i + n] for i in range(len(word) - n + 1)]
 
 
+def _leads(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best column of each row, and by how much it leads the second best."""
+    best = total.argmax(1)
+    if total.shape[1] == 1:
+        return best, np.full(len(total), 50.0)
+    rest = total.copy()
+    rest[np.arange(len(total)), best] = -np.inf
+    return best, total[np.arange(len(total)), best] - rest.max(1)
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``starts``; no run is empty."""
+    return np.add.reduceat(values, starts, axis=0) if len(starts) else np.zeros((0, *values.shape[1:]))
+
+
+def judged(flat: np.ndarray, starts: np.ndarray, scores: np.ndarray, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sentences, given as runs of words: language, lead over the second best, weight, and whether it is one.
+
+    ``flat`` has the words as rows of ``scores`` and ``facts``: a word's weight, how
+    much of that is known, how much only looks like a word, and whether it has more
+    than one letter. It is no sentence if it has not two different known words of
+    more than a letter, or these are under a third, words that only look like some
+    counted half.
+    """
+    best, lead = _leads(_sums(scores[flat], starts))
+    weight, known, like, _ = _sums(facts[flat], starts).T
+    ok = (known >= 2) & (6 * known + 3 * like >= 2 * weight)
+    # two different known words, or one that counts for two
+    counted = ((facts[:, 3] > 0) & (facts[:, 1] > 0))[flat]
+    if len(starts):
+        high = np.maximum.reduceat(np.where(counted, flat, -1), starts)
+        low = np.minimum.reduceat(np.where(counted, flat, len(facts)), starts)
+        ok &= (high > low) | ((high == low) & (facts[high, 1] >= 2))
+    return best, lead, weight, ok
+
+
 @dataclass
 class Model:
     """Natural logarithms of relative frequencies, a column for each language."""
@@ -109,15 +168,16 @@ class Model:
     word_scores: np.ndarray
     grams: dict[str, int]
     gram_scores: np.ndarray
-    kept: dict[str, tuple[int, int, int, int, bool]] = field(default_factory=dict)
+    kept: dict[str, int] = field(default_factory=dict)
     kept_scores: np.ndarray | None = None
+    kept_facts: np.ndarray | None = None
 
     def backed_off(self, word: str) -> tuple[np.ndarray, int]:
         """Scores of a word by the longest n-grams of which most are known, and their length; 0 if none are.
 
         Most: half, or of the n-grams of a run of Han characters, which is several words, four in five.
         """
-        least = 0.8 if _HAN.match(word) else 0.5
+        least = HAN_KNOWN if _HAN.match(word) else KNOWN
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
             all_grams = grams(word, n)
             known = [self.grams[g] for g in all_grams if g in self.grams]
@@ -125,80 +185,107 @@ class Model:
                 return self.gram_scores[known].sum(0) / n, n
         return np.zeros(len(self.languages)), 0
 
-    def _keep(self, word: str) -> tuple[int, int, int, int, bool]:
-        """Where the word's scores are, its weight, how much of that is known and how much only looks like a word, and whether it is more than one letter."""
+    def _keep(self, word: str) -> int:
+        """Where the word's scores and facts are."""
+        at = len(self.kept)
         if self.kept_scores is None:
-            self.kept_scores = np.zeros((1024, len(self.languages)))
-        elif len(self.kept) >= len(self.kept_scores):
-            self.kept_scores = np.concatenate([self.kept_scores, np.zeros_like(self.kept_scores)])
-        at, weight, han = len(self.kept), _weight(word), bool(_HAN.match(word))
+            self.kept_scores, self.kept_facts = np.zeros((1024, len(self.languages))), np.zeros((1024, 4))
+        elif at >= len(self.kept_scores):
+            self.kept_scores, self.kept_facts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kept_scores, self.kept_facts))
         row = self.words.get(word)
         if row is not None:
-            self.kept_scores[at], known, like = self.word_scores[row], weight, 0
+            self.kept_scores[at], n = self.word_scores[row], 0
         else:
             self.kept_scores[at], n = self.backed_off(word)
-            known, like = (weight if han and n else 0), (weight if n > 2 and not han else 0)
-        out = self.kept[word] = (at, weight, known, like, han or len(word) > 1)
+        self.kept_facts[at] = _facts(word, row is not None, n)
+        self.kept[word] = at
+        return at
+
+    def judge(self, found: list[list[str]]) -> list[tuple[int, float, float] | None]:
+        """Language, lead and weight of each sentence, given as its words; None if it is none. See ``judged``."""
+        if len(self.kept) > KEPT_WORDS:
+            self.kept = {}
+        kept, keep = self.kept, self._keep
+        flat = [kept[w] if w in kept else keep(w) for s in found for w in s]
+        some = [i for i, s in enumerate(found) if s]
+        out: list[tuple[int, float, float] | None] = [None] * len(found)
+        if flat:
+            lengths = np.array([len(found[i]) for i in some])
+            columns = judged(np.array(flat), np.cumsum(lengths) - lengths, self.kept_scores, self.kept_facts)
+            for i, best, lead, weight, ok in zip(some, *(c.tolist() for c in columns), strict=True):
+                if ok:
+                    out[i] = (best, lead, weight)
         return out
 
-    def judge(self, found: list[str]) -> tuple[int, float, float] | None:
-        """Language, lead over the second best, and weight of a sentence of these words; None if it is none: it has not two different known words of more than a letter, or these are under a third, words that only look like some counted half."""
-        if not found:
-            return None
-        if len(self.kept) + len(found) > KEPT_WORDS:
-            self.kept.clear()
-        kept = self.kept
-        scored = [kept.get(w) or self._keep(w) for w in found]
-        weight = sum([x[1] for x in scored])
-        known = sum([x[2] for x in scored])
-        if known < 2 or 6 * known + 3 * sum([x[3] for x in scored]) < 2 * weight or sum([x[2] for x in set(scored) if x[4]]) < 2:
-            return None
-        total = self.kept_scores[[x[0] for x in scored]].sum(0)
-        best = int(total.argmax())
-        if len(total) == 1:
-            return best, 50.0, float(weight)
-        top = float(total[best])
-        total[best] = -np.inf
-        return best, top - float(total.max()), float(weight)
-
     def sentence(self, text: str) -> tuple[int, float, float] | None:
-        return self.judge(words(text))
+        return self.judge([words(text)])[0]
+
 
+def _facts(word: str, listed: bool, n: int) -> tuple[float, float, float, float]:
+    """Weight, what of it is known and what looks like a word, and whether it has more than one letter; ``n`` is the length of the n-grams it was scored by if it is not ``listed``."""
+    weight, han = _weight(word), bool(_HAN.match(word))
+    known = weight if listed or (han and n) else 0
+    return weight, known, weight if not listed and n > 2 and not han else 0, han or len(word) > 1
 
-def _scores(counts: dict[str, Counter], languages: list[str], most: int, least: int) -> tuple[dict[str, int], np.ndarray]:
-    """Logarithms of the relative frequencies of the ``most`` frequent keys that occur ``least`` times.
+
+def _scores(table: np.ndarray, keys: list[str], most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ``keys`` are the ``most`` frequent that occur ``least`` times, and the logarithms of their relative frequencies; ``table`` has their numbers by language.
 
     What a language lacks has the same small frequency in all, and a language with
     little text counts as if it had SMALLEST of the largest one's: else its few
     texts, and the wrong labels among them, would outweigh the others'.
     """
-    total: Counter = Counter()
-    for c in counts.values():
-        total.update(c)
-    chosen = [k for k, n in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least]
-    table = np.array([[counts[lang][k] for lang in languages] for k in chosen], dtype=float).reshape(len(chosen), len(languages))
-    sums = np.array([sum(counts[lang].values()) for lang in languages], dtype=float)
+    total = table.sum(1)
+    chosen = np.array(sorted(np.flatnonzero(total >= least).tolist(), key=lambda i: (-total[i], keys[i]))[:most], dtype=np.int64)
+    sums = table.sum(0)
     largest = max(1.0, sums.max(initial=1.0))
-    return {k: i for i, k in enumerate(chosen)}, np.log(table / np.maximum(sums, SMALLEST * largest) + 0.05 / largest)
-
-
-def _model(by_language: dict[str, Counter], languages: list[str]) -> Model:
-    # a run of Han characters is no word: it is known by its n-grams only
-    index, scores = _scores({lang: Counter({w: n for w, n in by_language[lang].items() if not _HAN.match(w)}) for lang in languages}, languages, MOST_WORDS, 3)
-    by_gram: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(LONGEST_GRAM + 1)]
-    for lang in languages:
-        for word, count in by_language[lang].items():
-            for n in range(1, LONGEST_GRAM + 1):
-                for g in grams(word, n):
-                    by_gram[n][lang][g] += count
-    gram_index: dict[str, int] = {}
-    parts = []
-    for n in range(1, LONGEST_GRAM + 1):
-        own, part = _scores({lang: by_gram[n][lang] for lang in languages}, languages, MOST_GRAMS // LONGEST_GRAM, 3)
-        offset = len(gram_index)
-        gram_index.update((g, i + offset) for g, i in own.items())
-        parts.append(part)
-    return Model(languages, index, scores, gram_index, np.concatenate(parts) if parts else np.zeros((0, len(languages))))
+    return chosen, np.log(table[chosen] / np.maximum(sums, SMALLEST * largest) + 0.05 / largest)
+
+
+class _Vocabulary:
+    """The distinct words of the training texts and their n-grams, by number."""
+
+    def __init__(self, all_words: Iterable[str]) -> None:
+        self.words = sorted(all_words)
+        self.han = np.array([bool(_HAN.match(w)) for w in self.words], dtype=bool)
+        #: By length the distinct n-grams, the n-grams of all words one after the other, and where those of a word start.
+        self.grams: list[tuple[list[str], np.ndarray, np.ndarray]] = []
+        for n in range(1, LONGEST_GRAM + 1):
+            number: dict[str, int] = {}
+            flat, starts = [], []
+            for w in self.words:
+                starts.append(len(flat))
+                flat += [number.setdefault(g, len(number)) for g in grams(w, n)]
+            self.grams.append((list(number), np.array(flat, dtype=np.int64), np.array([*starts, len(flat)], dtype=np.int64)))
+
+    def model(self, counts: np.ndarray, languages: list[str]) -> tuple[Model, np.ndarray, np.ndarray, np.ndarray]:
+        """The model of the words' ``counts`` by language, with the scores and facts of all words and their scores by n-grams."""
+        # a run of Han characters is no word: it is known by its n-grams only
+        chosen, word_scores = _scores(np.where(self.han[:, None], 0.0, counts), self.words, MOST_WORDS, 3)
+        index, parts, offset = {}, [], 0
+        letters, length = np.zeros_like(counts), np.zeros(len(self.words), dtype=np.int64)
+        for n, (keys, flat, starts) in enumerate(self.grams, 1):
+            of_word = np.repeat(np.arange(len(self.words)), np.diff(starts))
+            table = np.stack([np.bincount(flat, weights=counts[of_word, i], minlength=len(keys)) for i in range(counts.shape[1])], 1) if len(flat) else np.zeros((len(keys), counts.shape[1]))
+            own, part = _scores(table, keys, MOST_GRAMS // LONGEST_GRAM, 3)
+            index.update((keys[g], offset + i) for i, g in enumerate(own.tolist()))
+            offset += len(own)
+            parts.append(part)
+            # words of which most n-grams are known: the longest come last and stay
+            row = np.full(len(keys), -1)
+            row[own] = np.arange(len(own))
+            place = row[flat]
+            inside, all_of = np.bincount(of_word[place >= 0], minlength=len(self.words)), np.diff(starts)
+            most = (inside > 0) & (inside >= np.where(self.han, HAN_KNOWN, KNOWN) * all_of)
+            use = (place >= 0) & most[of_word]
+            sums = np.stack([np.bincount(of_word[use], weights=part[place[use], i], minlength=len(self.words)) for i in range(counts.shape[1])], 1)
+            letters[most] = sums[most] / n
+            length[most] = n
+        scores, listed = letters.copy(), np.zeros(len(self.words), dtype=bool)
+        scores[chosen], listed[chosen] = word_scores, True
+        facts = np.array([_facts(w, is_listed, n) for w, is_listed, n in zip(self.words, listed.tolist(), length.tolist(), strict=True)], dtype=float).reshape(-1, 4)
+        words_at = {self.words[i]: at for at, i in enumerate(chosen.tolist())}
+        return Model(languages, words_at, word_scores, index, np.concatenate(parts)), scores, facts, letters
 
 
 def fit(labelled: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
@@ -211,28 +298,32 @@ def fit(labelled: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     it, so wrong labels and texts in several languages lose their influence.
     """
     languages = sorted({lang for _, lang in labelled})
-    texts = [(lang, [tuple(found) for found in map(words, sentences(text)) if found]) for text, lang in labelled]
-    every = Counter(found for _, all_found in texts for found in all_found)
-    counts: dict[str, Counter] = {lang: Counter() for lang in languages}
-    for lang, all_found in texts:
-        counts[lang].update({w for found in all_found for w in found})
-    model = _model(counts, languages)
-    by_letters: dict[str, np.ndarray] = {}
+    every: Counter = Counter()
+    by_label = [Counter() for _ in languages]
+    for text, lang in labelled:
+        found = [tuple(f) for f in map(words, sentences(text)) if f]
+        every.update(found)
+        by_label[languages.index(lang)].update({w for f in found for w in f})
+    if not every:
+        return Model(languages, {}, np.zeros((0, len(languages))), {}, np.zeros((0, len(languages))))
+    vocabulary = _Vocabulary({w for f in every for w in f})
+    number = {w: i for i, w in enumerate(vocabulary.words)}
+    flat = np.array([number[w] for f in every for w in f])
+    lengths = np.array([len(f) for f in every])
+    starts, times = np.cumsum(lengths) - lengths, np.repeat(np.array(list(every.values()), dtype=float), lengths)
+    counts = np.zeros((len(number), len(languages)))
+    for i, c in enumerate(by_label):
+        counts[[number[w] for w in c], i] = list(c.values())
+    model, scores, facts, letters = vocabulary.model(counts, languages)
     for i in range(rounds):
-        counts = {lang: Counter() for lang in languages}
-        for found, n in every.items():
-            judged = model.judge(list(found))
-            if judged and i == 0:
-                for w in found:
-                    if w not in by_letters:
-                        by_letters[w] = model.backed_off(w)[0]
-                total = np.sort(by_total := sum(by_letters[w] for w in found))
-                judged = (int(by_total.argmax()), float(total[-1] - total[-2]) if len(total) > 1 else LEAST_LEAD, judged[2])
-            if judged and judged[1] >= LEAST_LEAD:
-                own = counts[languages[judged[0]]]
-                for w in found:
-                    own[w] += n
-        model = _model(counts, languages)
+        best, lead, _, ok = judged(flat, starts, scores, facts)
+        if i == 0:
+            best, lead = _leads(_sums(letters[flat], starts))
+        sure = np.repeat(ok & (lead >= LEAST_LEAD), lengths)
+        lang = np.repeat(best, lengths)
+        at = flat * len(languages) + lang
+        counts = np.bincount(at[sure], weights=times[sure], minlength=counts.size).reshape(counts.shape)
+        model, scores, facts, letters = vocabulary.model(counts, languages)
     return model
 
 
@@ -250,20 +341,10 @@ def _sure(lead: float) -> float:
     return 1.0 / (1.0 + math.exp(-min(lead, 50.0)))
 
 
-def identify(model: Model, text: str | None) -> Found:
-    """Languages of a text.
-
-    The language of the text is that of most of its sentences, of equally many
-    the one with more words, then the one first in the alphabet; confidence is the
-    share of its sentences times how sure they are. A sentence between two
-    languages goes with the sentence before it (at the start, after it).
-    """
-    if not text or text.isspace() or not model.languages:
-        return Found(None, 0.0, 0, [])
-    scored = [s for s in map(model.sentence, sentences(text)) if s]
-    sure = [s for s in scored if s[1] >= LEAST_LEAD] or scored
+def _of_sentences(languages: list[str], scored: list[tuple[int, float, float]]) -> Found:
     if not scored:
         return Found(None, 0.0, 0, [])
+    sure = [s for s in scored if s[1] >= LEAST_LEAD] or scored
     now, placed = sure[0][0], []
     for lang, lead, weight in scored:
         if lead >= LEAST_LEAD:
@@ -273,16 +354,44 @@ def identify(model: Model, text: str | None) -> Found:
     for lang, _, weight in placed:
         size[lang] += weight
     best = min(number, key=lambda x: (-number[x], -size[x], x))
-    own = [c for lang, c, _ in placed if lang == best]
     stretches: list[tuple[str, float, int]] = []
-    at = 0
-    while at < len(placed):
-        until = at
-        while until < len(placed) and placed[until][0] == placed[at][0]:
-            until += 1
-        stretches.append((model.languages[placed[at][0]], sum(p[1] for p in placed[at:until]) / (until - at), until - at))
-        at = until
-    return Found(model.languages[best], sum(own) / len(placed), len(placed), stretches)
+    for lang, run in groupby(placed, key=lambda p: p[0]):
+        sures = [p[1] for p in run]
+        stretches.append((languages[lang], sum(sures) / len(sures), len(sures)))
+    return Found(languages[best], sum(c for lang, c, _ in placed if lang == best) / len(placed), len(placed), stretches)
+
+
+def identify_all(model: Model, texts: Iterable[str | None]) -> Iterator[Found]:
+    """Languages of texts.
+
+    The language of a text is that of most of its sentences, of equally many
+    the one with more words, then the one first in the alphabet; confidence is the
+    share of its sentences times how sure they are. A sentence between two
+    languages goes with the sentence before it (at the start, after it).
+    """
+    held: list[list[str]] = []
+    sizes: list[int] = []
+
+    def judge_held() -> Iterator[Found]:
+        scored, at = [s for i in range(0, len(held), AT_ONCE) for s in model.judge(held[i : i + AT_ONCE])], 0
+        for size in sizes:
+            yield _of_sentences(model.languages, [s for s in scored[at : at + size] if s])
+            at += size
+        held.clear()
+        sizes.clear()
+
+    for text in texts:
+        found = [words(s) for s in sentences(text)] if text and model.languages and not text.isspace() else []
+        held += found
+        sizes.append(len(found))
+        if len(held) >= AT_ONCE:
+            yield from judge_held()
+    yield from judge_held()
+
+
+def identify(model: Model, text: str | None) -> Found:
+    """The same for one text."""
+    return next(identify_all(model, [text]))
 
 
 def label_key(label: Column) -> Column:
@@ -328,8 +437,8 @@ def _identify(get: Callable[[], Model]):  # noqa: ANN202
         model = get()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = identify(model, text)
+            ids, texts, labels = (c.to_pylist() for c in batch.columns)
+            for doc_id, label, found in zip(ids, labels, identify_all(model, texts), strict=True):
                 rows.append((doc_id, 0, found.lang, found.confidence, found.sentences, label))
                 if len({s[0] for s in found.stretches}) > 1:
                     rows += [(doc_id, i, *s, label) for i, s in enumerate(found.stretches, 1)]

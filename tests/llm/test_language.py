@@ -33,7 +33,7 @@ def test_one_language(model, lang):
 def test_stretches_within_a_line_and_over_wrapped_lines(model):
     text = f"1. {LINES['en'][0]} {LINES['en'][1]} {LINES['de'][0]}\n{LINES['zh'][0]}{LINES['zh'][1]}\n\n- {LINES['de'][1]}".replace("because the", "because\nthe")
     assert [(s[0], s[2]) for s in language.identify(model, text).stretches] == [("en", 2), ("de", 1), ("zh", 2), ("de", 1)]
-    assert language.identify(model, text).lang == "de" or language.identify(model, text).lang in ("en", "zh")
+    assert language.identify(model, text).lang == "en"  # of three languages with two sentences each the one with most words
 
 
 def test_a_foreign_word_changes_nothing(model):
