@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import insort
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -28,38 +29,52 @@ UNUSED = 0.02
 MOST_KINDS = 64
 
 
+#: A window is one number, its load times 2^32 plus the node that names its items: lists of windows sort and search as lists of numbers.
+_NODE = (1 << 32) - 1
+
+
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """The items (as positions in ``sizes``) of each window, by largest differencing; windows without items are left out.
 
     A partial partition lists its windows that have items, smallest first; the
-    others are empty. Merging puts the largest windows of one with the smallest of
-    the other.
+    others are empty. Merging puts the smallest windows of the longer one with the
+    windows of the other in opposite order, and moves only these: a single item
+    that joins a full partition costs one search.
     """
-    heap = [(-size, i, [(size, i)]) for i, size in enumerate(sizes)]
+    if not sizes:
+        return []
+    made: list[tuple[int, int]] = []  # the two nodes behind each node that is no item
+    heap = [(-size, i, [size << 32 | i]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     at = len(sizes)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        shared = len(a) + len(b) - windows
-        if shared <= 0:
-            merged = a + b
+        a, b = heapq.heappop(heap)[2], heap[0][2]
+        if len(a) < len(b):
+            a, b = b, a
+        shared = max(0, len(a) + len(b) - windows)
+        joined = b[shared:]
+        for x, y in zip(reversed(a[:shared]), b, strict=False):
+            joined.append((x >> 32) + (y >> 32) << 32 | len(sizes) + len(made))
+            made.append((x & _NODE, y & _NODE))
+        del a[:shared]
+        if 8 * len(joined) < len(a):
+            for x in joined:
+                insort(a, x)
         else:
-            merged = [(a[shared - 1 - j][0] + b[j][0], (a[shared - 1 - j][1], b[j][1])) for j in range(shared)]
-            merged += a[shared:]
-            merged += b[shared:]
-        merged.sort(key=lambda w: w[0])
-        smallest = merged[0][0] if len(merged) == windows else 0
-        heapq.heappush(heap, (smallest - merged[-1][0], at, merged))
+            a += joined
+            a.sort()
+        smallest = a[0] >> 32 if len(a) == windows else 0
+        heapq.heapreplace(heap, (smallest - (a[-1] >> 32), at, a))
         at += 1
     out = []
-    for _, tree in heap[0][2] if heap else []:
-        items, todo = [], [tree]
+    for window in heap[0][2]:
+        items, todo = [], [window & _NODE]
         while todo:
             node = todo.pop()
-            if isinstance(node, tuple):
-                todo.extend(node)
-            else:
+            if node < len(sizes):
                 items.append(node)
+            else:
+                todo.extend(made[node - len(sizes)])
         out.append(items)
     return out
 
@@ -87,6 +102,11 @@ def fill(sizes: list[int], capacity: int, unused: float = UNUSED) -> list[list[i
     return closed
 
 
+def kinds_of(bins: DataFrame) -> DataFrame:
+    """``(bin_kind, capacity)``: kinds with a positive capacity; of a kind given twice the smaller one holds."""
+    return bins.where(F.col("capacity") > 0).groupBy("bin_kind").agg(F.min(F.col("capacity").cast("bigint")).alias("capacity"))
+
+
 def pieces(counts: DataFrame, bins: DataFrame) -> DataFrame:
     """``(bin_kind, capacity, doc_id, first_token, tokens)``: what is to be placed for each kind of container.
 
@@ -94,7 +114,7 @@ def pieces(counts: DataFrame, bins: DataFrame) -> DataFrame:
     other is one piece. Texts without tokens, and kinds with a null or
     non-positive capacity, have none.
     """
-    kinds = bins.select("bin_kind", F.col("capacity").cast("bigint").alias("capacity")).where(F.col("capacity") > 0).dropDuplicates(["bin_kind"])
+    kinds = kinds_of(bins)
     listed = [(r.bin_kind, r.capacity) for r in kinds.sort("bin_kind").limit(MOST_KINDS + 1).collect()]
     if len(listed) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of container")
@@ -146,7 +166,9 @@ def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
     groups = max(1, math.ceil(counts.where(F.col("tokens") > 0).count() / group))
     grouped = rest.select("bin_kind", F.pmod(F.xxhash64("doc_id", "first_token"), F.lit(groups)).alias("_group"), "capacity", "doc_id", "first_token", "tokens")
     tasks = max(shuffle_partitions(counts.sparkSession), 1)
-    ordered = grouped.repartition(tasks, "bin_kind", "_group").sortWithinPartitions("bin_kind", "_group", "tokens", "doc_id", "first_token")
+    # the groups of a kind go round the tasks one by one, so that each has as many as any other
+    task = F.pmod(F.col("_group") + F.pmod(F.xxhash64("bin_kind"), F.lit(tasks)), F.lit(tasks)).cast("int")
+    ordered = grouped.repartitionById(tasks, task).sortWithinPartitions("bin_kind", "_group", "tokens", "doc_id", "first_token")
     shared = ordered.mapInArrow(_packer(group), "bin_kind string, container string, doc_id bigint, first_token bigint, tokens bigint")
     return alone.unionByName(shared)
 
@@ -162,5 +184,4 @@ def fill_report(placed: DataFrame, bins: DataFrame) -> DataFrame:
     ``least_containers``: no packing has fewer, as all tokens must fit.
     """
     per = placed.groupBy("bin_kind").agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
-    kinds = bins.select("bin_kind", F.col("capacity").cast("bigint").alias("capacity")).dropDuplicates(["bin_kind"])
-    return per.join(kinds, "bin_kind").select("bin_kind", "containers", "pieces", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).cast("bigint").alias("least_containers"))
+    return per.join(kinds_of(bins), "bin_kind").select("bin_kind", "containers", "pieces", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).cast("bigint").alias("least_containers"))
