@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         "p2_frequency": lambda s, d: frequency.label_frequency(load(s, d, "graphs")),
         "p4_found": lambda s, d: overlap.found_overlaps(load(s, d, "csr_offsets"), load(s, d, "csr_cols")),
         "p4_overlap": lambda s, d: overlap.overlap_report(load(s, d, "csr_offsets"), load(s, d, "csr_cols")),
+        "p4_overlap_tenth": lambda s, d: overlap.overlap_report(load(s, d, "csr_offsets"), load(s, d, "csr_cols"), share=(1, 10)),
+        "p4_overlap_checked": lambda s, d: overlap.checked_overlaps(load(s, d, "csr_offsets"), load(s, d, "csr_cols")),
         "p6_ids": lambda s, d: encoding.encoded(load(s, d, "documents")),
         "p6_counts": lambda s, d: encoding.token_counts(load(s, d, "documents")),
         "p7_packed": lambda s, d: packing.packed_documents(load(s, d, "documents"), load(s, d, "bin_capacity")),
@@ -54,8 +56,8 @@ long AS (SELECT * FROM slice WHERE v IN (SELECT v FROM slice GROUP BY v HAVING s
 place AS (SELECT v, unnest(range(off, off + deg)) AS pos FROM long),
 member AS (SELECT DISTINCT v, nbr FROM place JOIN csr_cols USING (pos) WHERE nbr IS NOT NULL),
 n AS (SELECT v, count(*) AS n FROM member GROUP BY v HAVING count(*) >= 100),
-pair AS (SELECT a.v AS v_a, b.v AS v_b, count(*) AS shared FROM member a JOIN member b ON a.nbr = b.nbr AND a.v < b.v GROUP BY 1, 2)
-SELECT v_a, v_b FROM pair JOIN n x ON x.v = v_a JOIN n y ON y.v = v_b WHERE shared * 2 >= least(x.n, y.n)
+pair AS (SELECT a.v AS v_a, b.v AS v_b, count(*) AS shared FROM member a JOIN member b ON a.nbr = b.nbr AND a.v < b.v GROUP BY 1, 2),
+sized AS (SELECT v_a, v_b, x.n AS n_a, y.n AS n_b, shared FROM pair JOIN n x ON x.v = v_a JOIN n y ON y.v = v_b)
 """
 
 
@@ -65,5 +67,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_collapsed": _P1 + "SELECT rec_id, copies FROM grouped WHERE rec_id = kept_id",
         "p2_found": _P2 + "SELECT label, mark FROM marked WHERE mark IS NOT NULL",
         "p2_frequency": _P2 + "SELECT label, occurrences, records, mark FROM marked",
-        "p4_found": _P4,
+        "p4_found": _P4 + "SELECT v_a, v_b FROM sized WHERE shared * 2 >= least(n_a, n_b)",
+        "p4_overlap_checked": _P4 + "SELECT v_a, v_b, n_a, n_b, shared, true AS close FROM sized WHERE shared * 10 >= least(n_a, n_b)",
     }

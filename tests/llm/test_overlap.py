@@ -1,3 +1,4 @@
+import math
 import random
 from itertools import combinations
 
@@ -64,31 +65,79 @@ def test_estimates(spark, some_sets):
         assert abs(r.both - len(some_sets[a] & some_sets[b])) <= 6 * r.error
 
 
-def test_report_has_every_pair_that_shares_a_member(spark):
+def test_report_compares_every_pair(spark):
     sets = {v: {0, *range(10_000 * v + 1, 10_000 * v + 2000 + v)} for v in range(1, 9)} | {9: set(range(100_000, 102_000))}
     rows = {(r.v_a, r.v_b): r for r in overlap.overlap_report(*tables(spark, sets)).collect()}
-    assert set(rows) == set(combinations(range(1, 9), 2))
-    assert all(abs(r.both - 1) <= 6 * r.error for r in rows.values())
+    assert set(rows) == set(combinations(range(1, 10), 2))
+    assert all(abs(r.both - (r.v_b != 9)) <= 5 * r.error for r in rows.values())
+    assert overlap.overlap_report(*tables(spark, sets), share=(1, 10)).count() == 0
 
 
-def test_joint_estimate_is_close():
-    rng = np.random.default_rng(0)
-    m = 1 << overlap.PRECISION
+def registers(hashes):
+    p, out = overlap.PRECISION, {}
+    for h in hashes.tolist():
+        rest = (h << p) & (2**64 - 1)
+        out[h >> (64 - p)] = max(out.get(h >> (64 - p), 0), 64 - rest.bit_length() + 1)
+    return np.array([i * 64 + k for i, k in sorted(out.items())])
 
-    def registers(hashes):
-        out = np.zeros(m, dtype=np.int64)
-        for h in hashes.tolist():
-            rest = (h << overlap.PRECISION) & (2**64 - 1)
-            k = 64 - rest.bit_length() + 1 if rest else 64 - overlap.PRECISION + 1
-            out[h >> (64 - overlap.PRECISION)] = max(out[h >> (64 - overlap.PRECISION)], k)
-        return out
 
-    for n_a, n_b, both in ((1000, 1000, 0), (1000, 1000, 500), (1000, 1000, 1000), (20_000, 5000, 3000)):
+def test_paired_registers():
+    one, other = np.zeros(8, dtype=np.int8), np.array([0 * 64 + 3, 2 * 64 + 1, 4 * 64 + 2])
+    one[[0, 1, 2, 3]] = [3, 2, 2, 1]
+    got = overlap.paired_registers(one, [other, np.zeros(0, dtype=np.int64)], 4)
+    assert got["equal"].tolist() == [[3, 0, 0, 1], [4, 0, 0, 0]]
+    assert got["more"].tolist() == [[0, 1, 2, 0], [0, 1, 2, 1]]
+    assert got["less"].tolist() == [[0, 0, 1, 0], [0, 0, 0, 0]]
+
+
+@pytest.mark.parametrize(("n_a", "n_b", "both"), [(100, 100, 50), (1000, 1000, 0), (1000, 1000, 500), (1000, 1000, 1000), (20_000, 5000, 3000), (500, 20_000, 250)])
+def test_estimate_and_its_error(n_a, n_b, both):
+    rng, m, off = np.random.default_rng(n_a + both), 1 << overlap.PRECISION, []
+    for _ in range(12):
         h = rng.integers(0, 2**64, size=n_a + n_b - both, dtype=np.uint64)
-        sizes, error = overlap.joint_estimate(registers(h[:n_a])[None], registers(h[n_a - both :])[None])
-        assert abs(sizes[0, 2] - both) < max(25, 0.15 * both)
-        assert abs(sizes[0, 0] - (n_a - both)) < max(40, 0.15 * n_a)
-        assert error[0] < 0.2 * min(n_a, n_b)
+        first, second = registers(h[:n_a]), registers(h[n_a - both :])
+        dense = np.zeros(m, dtype=np.int8)
+        dense[first >> 6] = first & 63
+        x, error = overlap.joint_estimate(overlap.paired_registers(dense, [second], 40), np.array([n_a]), np.array([n_b]), m)
+        off.append((x[0] - both) / error[0])
+        assert error[0] < max(4, 0.05 * min(n_a, n_b))
+    assert max(map(abs, off)) < 4
+    assert np.sqrt(np.mean(np.square(off))) < 1.7
+
+
+def test_no_set_meets_all_by_what_everyone_has(spark):
+    rng = random.Random(7)
+    sets = {v: {*range(20), *rng.sample(range(100, 50_000), rng.choice([80, 200, 380]))} for v in range(200)}
+    sets[500] = {*range(20), *sorted(sets[3])[20:70], *range(60_000, 60_030)}
+    rows = [(v, m) for v, members in sets.items() for m in members]
+    members = spark.createDataFrame(rows, "v long, nbr long")
+    sizes = members.groupBy("v").count().withColumnRenamed("count", "n")
+    met = {(r.a, r.b) for r in overlap.meeting_pairs(overlap.counted_members(members), sizes, (1, 2)).collect()}
+    assert (3, 500) in met
+    assert len(met) < 200 * 199 / 20
+
+
+def test_sets_of_popular_members_are_found(spark):
+    sets = {v: {*range(100), *range(1000 * v, 1000 * v + v % 7)} for v in range(1, 90)}
+    assert found(*tables(spark, sets)) == set(combinations(range(1, 90), 2))
+
+
+def test_the_estimate_decides(spark, some_sets):
+    sure, counts = overlap.decided(*tables(spark, some_sets))
+    want = expected(some_sets)
+    got = {(r.a, r.b) for r in sure.collect()}
+    assert got <= want
+    assert len(got) >= 0.6 * len(want)
+    for r in counts.collect():
+        assert r.shared == len(some_sets[r.a] & some_sets[r.b])
+
+
+def test_least_meetings():
+    for mean, n in ((84, 168), (84, 10_000)):
+        t = overlap.least_meetings(mean)
+        below = sum(math.comb(n, k) * (mean / n) ** k * (1 - mean / n) ** (n - k) for k in range(t))
+        assert t > 10
+        assert below <= math.exp(-28)
 
 
 def test_empty(spark):
@@ -98,5 +147,5 @@ def test_empty(spark):
 
 
 def test_sketch_is_bounded(spark):
-    members = spark.range(100_000).selectExpr("1 as v", "id as nbr")
+    members = spark.range(500_000).selectExpr("1 as v", "id as nbr")
     assert len(overlap.sketches(members, "v", "nbr").first().regs) == 1 << overlap.PRECISION
