@@ -102,7 +102,7 @@ def queries() -> dict[str, Query]:
         "p3_file_hub_entries": lambda s, d: skew.file_hub_entries(load(s, d, "edges")),
         "p5_found": lambda s, d: lines.broken_lines(load(s, d, "raw_lines")),
         "p5_loaded": lambda s, d: lines.loaded_lines(load(s, d, "raw_lines")).withColumnsRenamed({"begin": "begin_id", "end": "end_id"}),
-        "p5_repairs": lambda s, d: lines.repairs(load(s, d, "raw_lines")),
+        "p5_repairs": lambda s, d: lines.repair_report(load(s, d, "raw_lines")),
     }
 
 
@@ -206,5 +206,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_max_degree": _P3 + "SELECT max(neighbours) AS max_degree FROM loads",
         "p3_file_hub_entries": _P3 + "SELECT file_id, count(*) AS hub_entries FROM ends JOIN loads USING (v) WHERE entries >= 1000 GROUP BY file_id",
         "p5_found": _P5 + "SELECT line_id, reason FROM checked WHERE reason IS NOT NULL",
+        "p5_repairs": _P5 + "SELECT line_id, reason, true AS in_place, CASE WHEN reason <> 'quoting' THEN abs(length(bare_line) - length(replace(bare_line, chr(9), '')) - 3) END AS delimiters FROM checked JOIN (SELECT line_id, regexp_replace(line, '\"(?:[^\"]|\"\")*\"', '', 'g') AS bare_line FROM record) USING (line_id) WHERE reason IS NOT NULL",
         "p5_loaded": _P5 + "SELECT line_id, CAST(b AS BIGINT) AS begin_id, CAST(e AS BIGINT) AS end_id, tag, remark FROM checked WHERE reason IS NULL",
     }

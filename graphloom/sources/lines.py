@@ -1,7 +1,8 @@
 """Loading delimited lines of which some are broken (problem 5).
 
-A line without faults is read at no cost. Any other is repaired at the least
-cost by inserting or deleting quotes and delimiters; the edits say what is wrong.
+A line without faults is read at no cost. Any other is parsed at the least cost:
+quotes and delimiters are inserted or deleted, and ids that are none typed anew,
+by dynamic programming. The edits of the cheapest parse state the reason.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _FIELD = re.compile(r'(?:"([^"]*(?:""[^"]*)*)"|([^"\t]*))(\t|\Z)')
 _SYMBOL = re.compile(r'"|\t|[^"\t]+')
 
-# where in a field a reader is: at its start, in a plain one, in a quoted one, behind a quote of a quoted one
+# where in a field a reader is: at its start (or behind a delimiter taken out of it), in a plain part, in a quoted one, behind a quote of a quoted one
 START, PLAIN, QUOTED, CLOSED = range(4)
 
 
@@ -61,79 +62,179 @@ def _step(state: int, symbol: str) -> int | None:
     return (PLAIN, PLAIN, QUOTED, None)[state]
 
 
-def quote_cost(line: str) -> int:
-    """The least number of quotes to insert or delete until every quote is in place, for any number of fields."""
-    cost = {START: 0}
-    for m in _SYMBOL.finditer(line):
-        symbol, ahead = m[0], {}
+def _quotes_to_go(symbols: list[str]) -> list[tuple[int, ...]]:
+    """For each place and state the least number of quotes to insert or delete until the end, for any number of fields."""
+    ahead = (0, 0, 1, 0)
+    out = [ahead]
+    for symbol in reversed(symbols):
+        here = []
+        for state in range(4):
+            after, quoted = _step(state, symbol), _step(state, '"')
+            cost = [ahead[after]] if after is not None else []
+            if symbol == '"':
+                cost.append(ahead[state] + 1)
+            if quoted is not None and (twice := _step(quoted, symbol)) is not None:
+                cost.append(ahead[twice] + 1)
+            here.append(min(cost))
+        ahead = tuple(here)
+        out.append(ahead)
+    return out[::-1]
 
-        def reach(state: int | None, c: int) -> None:
-            if state is not None and c < ahead.get(state, c + 1):  # noqa: B023
-                ahead[state] = c  # noqa: B023
 
-        for state, c in cost.items():
-            reach(_step(state, symbol), c)
-            if symbol == '"':
-                reach(state, c + 1)  # deleted
-            quoted = _step(state, '"')
-            if quoted is not None:
-                reach(_step(quoted, symbol), c + 1)  # one inserted before
-        cost = ahead
-    return min(c + (state == QUOTED) for state, c in cost.items())
+#: What the field so far would be as an id, besides the number itself.
+_NOTHING, _NO_ID = -1, -2
+
+
+def _typed(value: int, text: str) -> int:
+    """The id so far with ``text`` behind it."""
+    if value == _NO_ID or _DIGITS.fullmatch(text) is None:
+        return _NO_ID
+    digits = text.lstrip("0") if value <= 0 else text
+    if len(digits) > 10:
+        return _NO_ID
+    number = (max(value, 0) * 10 ** len(digits)) + int(digits or "0")
+    return number if number <= MAX_ID else _NO_ID
+
+
+#: The costs of a parse as one number, so that no number of cheaper edits outweighs a dearer one: quotes, delimiters, then begin and end typed anew.
+_BEGIN, _END, _DELIMITER, _QUOTE = 2, 1, 4, 1 << 40
+_REASONS = ((_QUOTE, "quoting"), (_DELIMITER, "columns"), (_BEGIN, "begin"), (_END, "end"))
+
+
+@dataclass(frozen=True)
+class Parse:
+    """The cheapest parse of a line: its cost and the reason that it states (None at cost 0); with edits also these and the fields with their quotes."""
+
+    cost: int
+    reason: str | None
+    edits: tuple[str, ...] = ()
+    text: str | None = None
+
 
+def cheapest_parse(line: str, with_edits: bool = False) -> Parse:
+    """The parse of ``line`` as four fields, two of them ids, that takes the fewest edits of quotes, then of delimiters, then of ids.
 
-def repair(line: str, fields: int = FIELDS) -> tuple[int, list[str], str]:
-    """Cost, edits and text of the cheapest repair to ``fields`` fields with every quote in place.
+    A quote may be inserted or deleted anywhere. A delimiter may be deleted, which
+    joins two fields, or inserted where a field begins or ends, which adds an
+    empty one; neither changes which quotes are in place, so a line whose quotes
+    are in order never needs an edit of quotes, and one whose are not always does.
+    The reason is the dearest kind of edit needed. Of equally cheap parses the one
+    with the earliest steps in the order kept, deleted, inserted is taken.
 
-    Dynamic programming over the symbols of the line (quotes, delimiters, runs of
-    anything else) by state and number of fields so far. An inserted or deleted
-    quote or delimiter costs 1. Of equally cheap repairs the one whose edits come
-    latest and delete rather than insert is taken. Time grows with symbols times fields.
+    A state is what a reader knows: where in a field it is, which field, and what
+    the field would be as an id. Only states on a way with the fewest edits of
+    quotes are followed, known from a pass from the end. Time grows with the
+    length of the line; without edits memory holds one state of each kind.
     """
-    symbols = [(m[0], m.start()) for m in _SYMBOL.finditer(line)]
-    layers: list[dict] = [{(START, 1): (0, None, "")}]
-
-    def offer(layer: dict, key: tuple[int, int], cost: int, back: tuple, edit: str) -> None:
-        if key[1] <= fields and (key not in layer or cost < layer[key][0]):
-            layer[key] = (cost, back, edit)
-
-    for i, (symbol, at) in enumerate([*symbols, ("", len(line))]):
-        here = layers[-1]
-        # insertions before this symbol, at most one quote and fields - 1 delimiters in a row
-        for _ in range(fields + 1):
-            for (state, n), (c, _, _) in list(here.items()):
-                q = _step(state, '"')
-                if q is not None:
-                    offer(here, (q, n), c + 1, (i, (state, n)), f"insert quote at {at}")
-                if state != QUOTED:
-                    offer(here, (START, n + 1), c + 1, (i, (state, n)), f"insert delimiter at {at}")
-        if not symbol:
-            break
-        ahead: dict = {}
-        for (state, n), (c, _, _) in here.items():
+    symbols = _SYMBOL.findall(line)
+    quotes = _quotes_to_go(symbols)
+    least = quotes[0][START]
+    start = (START, 1, _NOTHING)
+    here: dict[tuple[int, int, int], int] = {start: 0}
+    steps: list[dict] = []
+
+    def closed(key: tuple[int, int, int], cost: int) -> int:
+        """The cost when the field of ``key`` ends."""
+        return cost + ((_BEGIN if key[1] == 1 else _END) if key[1] <= 2 and key[2] < 0 else 0)
+
+    for i, symbol in enumerate([*symbols, ""]):
+        own: dict = {}
+        ahead: dict[tuple[int, int, int], int] = {}
+        to_go, then = quotes[i], quotes[min(i + 1, len(symbols))]
+
+        def offer(layer: dict, place: int, key: tuple[int, int, int], cost: int, back: tuple, go: int) -> None:
+            if key[1] <= FIELDS and (cost >> 40) + go == least and cost < layer.get(key, 1 << 80):  # noqa: B023
+                layer[key] = cost
+                if with_edits:
+                    own[place, key] = back  # noqa: B023
+
+        # delimiters inserted where a field begins or, before a delimiter or the end of the line, ends
+        todo = list(here)
+        while todo:
+            key = todo.pop()
+            state, n, _ = key
+            if state == START or (state != QUOTED and symbol in ("", "\t")):
+                new = (START, n + 1, _NOTHING if n < 2 else 0)
+                before = here.get(new, 1 << 80)
+                offer(here, 0, new, closed(key, here[key]) + _DELIMITER, (key, "insert delimiter"), to_go[START])
+                if here.get(new, 1 << 80) < before:
+                    todo.append(new)
+        for key, cost in here.items():
+            state, n, value = key
+            for edit, at, price in (("", state, 0), ("insert quote", _step(state, '"'), _QUOTE)):
+                if not symbol:  # an open field is closed, any other stays as it is
+                    if bool(edit) == (state == QUOTED):
+                        offer(ahead, 1, (CLOSED, n, value) if edit else key, cost + price, (key, edit), 0)
+                    continue
+                if at is None:
+                    continue
+                after = _step(at, symbol)
+                if after is None:
+                    continue
+                # an inserted quote behind a closing one is data, and so is the symbol in quotes
+                held = _NO_ID if edit and state == CLOSED and n <= 2 else value
+                if symbol == "\t" and at != QUOTED:
+                    offer(ahead, 1, (START, n + 1, _NOTHING if n < 2 else 0), closed((at, n, held), cost) + price, (key, edit), then[START])
+                    continue
+                if n <= 2 and (symbol != '"' or at == CLOSED):
+                    held = _typed(held, symbol)
+                offer(ahead, 1, (after, n, held), cost + price, (key, edit), then[after])
+            if symbol == '"':
+                offer(ahead, 1, key, cost + _QUOTE, (key, "delete quote"), then[state])
+            elif symbol == "\t" and state != QUOTED:
+                offer(ahead, 1, (START, n, value), cost + _DELIMITER, (key, "delete delimiter"), then[START])
+        steps.append(own)
+        here = ahead
+    cost, key = min((closed(k, c), k) for k, c in here.items() if k[1] == FIELDS)
+    reason = next((r for price, r in _REASONS if cost >= price), None)
+    if not with_edits:
+        return Parse(cost, reason)
+    return Parse(cost, reason, *_traced(line, symbols, steps, key))
+
+
+def _traced(line: str, symbols: list[str], steps: list[dict], key: tuple[int, int, int]) -> tuple[tuple[str, ...], str]:
+    """The edits of the parse that ends in ``key``, and the fields it gives, quoted where quotes hold any part of them."""
+    way: list[tuple[int, str, tuple[int, int, int]]] = []  # place, edit, state before
+    for i in range(len(symbols), -1, -1):
+        if (1, key) in steps[i]:
+            before, edit = steps[i][1, key]
+            way.append((i, edit or "keep", before))
+            key = before
+        while (0, key) in steps[i]:
+            before, edit = steps[i][0, key]
+            way.append((i, edit, before))
+            key = before
+    starts = [0]
+    for symbol in symbols:
+        starts.append(starts[-1] + len(symbol))
+    edits, fields, held, quoted = [], [], [], False
+
+    def ended() -> None:
+        nonlocal held, quoted
+        text = "".join(held)
+        if len(fields) < 2 and _id(text) is None:
+            edits.append(f"retype {('begin', 'end')[len(fields)]}")
+        fields.append('"' + text.replace('"', '""') + '"' if quoted else text)
+        held, quoted = [], False
+
+    for i, edit, (state, _, _) in reversed(way):
+        if edit != "keep":
+            edits.append(f"{edit} at {starts[i]}")
+        if edit == "insert delimiter":
+            ended()
+            continue
+        if edit.startswith("delete"):
+            continue
+        for symbol in (['"'] if edit == "insert quote" else []) + ([symbols[i]] if i < len(symbols) else []):
             after = _step(state, symbol)
-            if after is not None:
-                offer(ahead, (after, n + (symbol == "\t" and state != QUOTED)), c, (i, (state, n)), "")
-            if symbol in ('"', "\t") and not (symbol == "\t" and state == QUOTED):
-                offer(ahead, (state, n), c + 1, (i, (state, n)), f"delete {'quote' if symbol == chr(34) else 'delimiter'} at {at}")
-        layers.append(ahead)
-    ends = [(layers[-1][(s, fields)][0], (s, fields)) for s in (START, PLAIN, CLOSED) if (s, fields) in layers[-1]]
-    cost, key = min(ends)
-    edits, text, i = [], [], len(layers) - 1
-    while True:
-        _, back, edit = layers[i][key]
-        if back is None:
-            break
-        before, previous = back
-        symbol = symbols[before][0] if before < len(symbols) else ""
-        if edit:
-            edits.append(edit)
-        if edit.startswith("insert"):
-            text.append('"' if "quote" in edit else "\t")
-        elif not edit:
-            text.append(symbol)
-        i, key = before, previous
-    return cost, edits[::-1], "".join(reversed(text))
+            if symbol == "\t" and state != QUOTED:
+                ended()
+            elif symbol != '"' or state == CLOSED:
+                held.append(symbol)
+            quoted = quoted or after == QUOTED
+            state = after
+    ended()
+    return tuple(edits), "\t".join(fields)
 
 
 def _id(text: str) -> int | None:
@@ -145,22 +246,11 @@ def _id(text: str) -> int | None:
 
 
 def parse_line(line: str) -> Parsed:
-    """A record's fields, or the first reason that holds of quoting, columns, begin and end.
-
-    Quoting is broken if it takes edits of quotes to put it in order; columns are
-    if, with the quotes in order, it takes edits of delimiters to get four fields;
-    begin and end if they would have to be typed anew.
-    """
+    """A record's fields, or the first reason that holds of quoting, columns, begin and end, as the cheapest parse states it."""
     fields = zero_cost_fields(line)
-    if fields is None:
-        return Parsed(None, "quoting" if quote_cost(line) else "columns")
-    if len(fields) != FIELDS:
-        return Parsed(None, "columns")
-    if _id(fields[0]) is None:
-        return Parsed(None, "begin")
-    if _id(fields[1]) is None:
-        return Parsed(None, "end")
-    return Parsed(tuple(fields), None)
+    if fields is not None and len(fields) == FIELDS and _id(fields[0]) is not None and _id(fields[1]) is not None:
+        return Parsed(tuple(fields), None)
+    return Parsed(None, cheapest_parse(line).reason)
 
 
 def _parser(with_edits: bool):  # noqa: ANN202
@@ -174,10 +264,8 @@ def _parser(with_edits: bool):  # noqa: ANN202
                 begin, end, tag, remark = p.fields or (None,) * 4
                 edits, repaired = None, None
                 if with_edits and p.reason:
-                    if p.reason in ("quoting", "columns"):
-                        _, edits, repaired = repair(line)
-                    else:
-                        edits = [f"retype {p.reason}"]
+                    best = cheapest_parse(line, with_edits=True)
+                    edits, repaired = best.edits, best.text
                 for column, value in zip(out, (line_id, begin and _id(begin), end and _id(end), tag, remark, p.reason, edits, repaired), strict=True):
                     column.append(value)
             kinds = (batch.column(0).type, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
@@ -191,9 +279,9 @@ def parse_lines(raw: DataFrame, with_edits: bool = False) -> DataFrame:
     """``(line_id, begin, end, tag, remark, reason, edits, repaired)``: one row for each record among the lines.
 
     Valid records have typed fields and no ``reason``; broken ones have a reason
-    and no fields, and with ``with_edits`` the edits of the cheapest repair and
-    the line so repaired (none for begin and end, which no edit of quotes or
-    delimiters mends). Null, blank and comment lines give no row. Repeated lines
+    and no fields, and with ``with_edits`` the edits of the cheapest parse and the
+    line so repaired: four fields with every quote in place (ids to be typed anew
+    are named but stay as they are). Null, blank and comment lines give no row. Repeated lines
     and repeated or null line_ids are kept, a row each. No shuffle.
     """
     schema = "line_id bigint, begin bigint, end bigint, tag string, remark string, reason string, edits array<string>, repaired string"
@@ -213,4 +301,14 @@ def broken_lines(raw: DataFrame) -> DataFrame:
 
 def repairs(raw: DataFrame) -> DataFrame:
     """``(line_id, reason, edits, repaired)`` of the broken records."""
-    return parse_lines(raw, with_edits=True).where(F.col("reason").isNotNull()).select("line_id", "reason", F.array_join("edits", "; ").alias("edits"), "repaired")
+    return parse_lines(raw, with_edits=True).where(F.col("reason").isNotNull()).select("line_id", "reason", "edits", "repaired")
+
+
+#: A line of four fields with every quote in place.
+IN_PLACE = r'(?s)^(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*)){3}\z'
+
+
+def repair_report(raw: DataFrame) -> DataFrame:
+    """``(line_id, reason, in_place, delimiters)`` of the broken records: whether the repaired line has four fields with every quote in place, and the number of delimiters edited, null where quotes are at fault."""
+    number = lambda word: F.when(F.col("reason") != "quoting", F.size(F.filter("edits", lambda e: e.contains(word))))
+    return repairs(raw).select("line_id", "reason", F.col("repaired").rlike(IN_PLACE).alias("in_place"), number("delimiter").cast("bigint").alias("delimiters"))
