@@ -33,7 +33,21 @@ def test_repeated_records_and_a_third_in_one_group(spark):
     df = df.union(df.where("rec_id = 3"))
     found = pairs(spelling.found_copies(df))
     assert found == sorted([(0, i) for i in range(3, 900, 3)] + [(0, 3)])
-    assert spelling.hot_hashes(spelling._keyed(df, "rec_id", spelling.edge_key()), 901) != []
+    hot = spelling.hot_hashes(spelling._keyed(df, "rec_id", spelling.edge_key()), 901, 512).collect()
+    assert [r._salts for r in hot] == [172]  # 301 of 901 records, in parts of 901 / 512
+
+
+def test_a_key_is_hot_by_the_share_of_a_task(spark):
+    key = F.when(F.col("id") % 600 == 0, F.lit("hot")).otherwise(F.concat(F.lit("n"), F.col("id").cast("string")))
+    df = spark.range(60_000).select(F.col("id").alias("rec_id"), key.alias("begin_name"), F.lit("Two").alias("end_name"))
+    assert spelling._split(df, "rec_id", spelling.edge_key(), None)[1] is None  # 1/600 of the records is little for 8 tasks
+    spark.conf.set("spark.sql.shuffle.partitions", "4096")
+    try:
+        light, heavy = spelling._split(df, "rec_id", spelling.edge_key(), None)
+        assert {r[0] for r in heavy.select("_key").distinct().collect()} == {"hot two"}
+        assert (heavy.count(), light.count()) == (100, 59_900)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_empty_and_very_long(spark):
