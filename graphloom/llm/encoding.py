@@ -13,6 +13,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +48,7 @@ class Encoder:
         self.lengths = {byte: sorted(lengths, reverse=True) for byte, lengths in ends.items()}
         self.pattern = regex.compile(pattern)
         self.words = self.pattern.findall
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}  # ids as int32
         self.kept_words = kept_words
         self.adjacent: dict[tuple[int, int], bool] = {}
 
@@ -104,27 +105,32 @@ class Encoder:
             while at:
                 out.append(last[at])
                 at -= len(self.tokens[last[at]])
-            self.kept[word] = tuple(reversed(out))
+            self.kept[word] = np.array(out[::-1], np.int32).tobytes()
             before = data
 
-    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """The ids of each text; none for a null or empty one."""
+    def encode_runs(self, texts: list[str | None], at_once: int = TEXT_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of one run of texts after the other, about ``at_once`` characters each, the ids of all and where those of each text end; none for a null or empty one."""
         at = 0
         while at < len(texts):
             size, until = 0, at
-            while until < len(texts) and (until == at or size + len(texts[until] or "") <= TEXT_AT_ONCE):
+            while until < len(texts) and (until == at or size + len(texts[until] or "") <= at_once):
                 size += len(texts[until] or "")
                 until += 1
             cut = [self.words(t) if t else [] for t in texts[at:until]]
             self.learn({w for words in cut for w in words})
-            kept = self.kept
-            for words in cut:
-                ids: list[int] = []
-                for w in words:
-                    ids += kept[w]
-                yield ids
+            of = self.kept.__getitem__
+            encoded = [b"".join(map(of, words)) for words in cut]
+            ends = np.zeros(len(cut) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in encoded], out=ends[1:])
+            yield np.frombuffer(b"".join(encoded), np.int32), ends
             at = until
 
+    def encode_many(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        for ids, ends in self.encode_runs(texts):
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                yield ids[a:b].tolist()
+
 
 @lru_cache(maxsize=2)
 def _encoder(vocabulary: bytes) -> Encoder:
@@ -141,8 +147,11 @@ def _encode(get: Callable[[], Encoder]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
         for batch in batches:
-            ids = pa.array(list(encoder.encode_many(batch.column(1).to_pylist())), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            done = 0
+            for ids, ends in encoder.encode_runs(batch.column(1).to_pylist()):
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[done : done + len(lists)], lists], ["doc_id", "ids"])
+                done += len(lists)
 
     return run
 
@@ -165,8 +174,8 @@ def token_counts(documents: DataFrame, name: str = VOCABULARY, folder: str = TOK
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = get()
         for batch in batches:
-            n = pa.array([len(ids) for ids in encoder.encode_many(batch.column(1).to_pylist())], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n], ["doc_id", "tokens"])
+            ends = [np.diff(ends).astype(np.int64) for _, ends in encoder.encode_runs(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(ends or [np.zeros(0, np.int64)]))], ["doc_id", "tokens"])
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, tokens bigint")
