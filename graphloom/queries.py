@@ -12,6 +12,7 @@ from graphloom.operators import app, cliques, cluster, core, graph, match, quasi
 from graphloom.plans.matchplan import match_sql
 from graphloom.plans.pattern import preset, preset_numbers
 from graphloom.sources import lines
+from graphloom import roundtrips
 from graphloom.tables import load, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,7 +96,7 @@ def queries() -> dict[str, Query]:
         out[f"match_expand_q{q}"] = lambda s, d, q=q: match.expand_count(parts_graph(s, d), preset(q))
     for q in (5, 14, 25):
         out[f"match_candidate_q{q}"] = lambda s, d, q=q: match.candidate_count(written(large_orders_graph(s, d)), preset(q))
-    return out | {
+    return out | roundtrips.queries() | {
         "p3_found": lambda s, d: skew.found_hubs(load(s, d, "edges")),
         "p3_vertex_loads": lambda s, d: skew.vertex_loads(load(s, d, "edges")),
         "p3_max_degree": lambda s, d: skew.max_degree(load(s, d, "edges")),
@@ -200,7 +201,7 @@ checked AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    return _graph_sql() | {
+    return _graph_sql() | roundtrips.oracle_sql() | {
         "p3_found": _P3 + "SELECT v FROM loads WHERE entries * 100 > (SELECT count(*) FROM edges)",
         "p3_vertex_loads": _P3 + "SELECT v, entries, neighbours FROM loads",
         "p3_max_degree": _P3 + "SELECT max(neighbours) AS max_degree FROM loads",

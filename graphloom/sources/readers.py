@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,51 +36,85 @@ def read_edge_list(spark: SparkSession, path: str, shift: bool = True) -> DataFr
     return pairs.select((F.col("src") - least).alias("src"), (F.col("dst") - least).alias("dst"))
 
 
-def _csr_ranges(path_size: int, piece: int) -> Iterator[tuple[int, int]]:
-    for start in range(0, path_size, piece):
-        yield start, min(path_size, start + piece)
+def opened(path: str) -> pa.NativeFile:
+    """A file of a shared store by its URI, or of the machine by its path."""
+    store, name = FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+    return store.open_input_file(name)
 
 
-def read_csr(spark: SparkSession, path: str, variant: str = "offsets", piece: int = 1 << 20) -> DataFrame:
-    """``(src, dst)``: the arcs of a binary file.
+def _numbers(f: pa.NativeFile, kind: str, count: int, at: int) -> np.ndarray:
+    """``count`` whole numbers from byte ``at`` on."""
+    return np.frombuffer(f.read_at(count * np.dtype(kind).itemsize, at), kind).astype(np.int64)
 
-    ``offsets``: four u64 (4, 8, vertices, arcs), u64 offsets[vertices + 1], u32
-    neighbours[arcs]. ``degrees``: three u32 (any, vertices, arcs), u32 degrees[vertices], u32
-    neighbours[arcs]. A task maps the file and reads the lists of ``piece``
-    vertices; the path must be one that all workers see. Sizes that don't fit are an error.
-    """
-    local = path.removeprefix("file://")
-    head = np.fromfile(local, dtype="<u8" if variant == "offsets" else "<u4", count=4 if variant == "offsets" else 3)
-    n, m = (int(x) for x in head[-2:])
-    start = 32 if variant == "offsets" else 12
-    expected = start + ((n + 1) * 8 if variant == "offsets" else n * 4) + m * 4
-    if np.memmap(local, mode="r").size != expected or (variant == "offsets" and (int(head[0]), int(head[1])) != (4, 8)):
-        raise ValueError(f"{path} is no such file")
-    ranges = spark.createDataFrame(list(_csr_ranges(n, piece)) or [(0, 0)], "a bigint, b bigint")
-    if variant != "offsets":
-        degs = np.memmap(local, dtype="<u4", mode="r", offset=start, shape=(n,)) if n else np.zeros(0, "<u4")
-        bases = [int(degs[:a].sum(dtype=np.uint64)) for a, _ in _csr_ranges(n, piece)] or [0]
-        ranges = spark.createDataFrame([(*r, base) for r, base in zip(list(_csr_ranges(n, piece)) or [(0, 0)], bases, strict=True)], "a bigint, b bigint, base bigint")
+
+def _ranges(n: int, piece: int) -> list[tuple[int, int]]:
+    return [(a, min(n, a + piece)) for a in range(0, n, piece)] or [(0, 0)]
+
+
+def _lists(spark: SparkSession, n: int, piece: int, ranges: DataFrame, offsets_of: Callable[[dict], np.ndarray], cols: str, cols_at: int) -> DataFrame:
+    """``(src, dst)`` of lists laid end to end as u32 from byte ``cols_at`` of the file ``cols``; a task reads the lists of ``piece`` vertices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                a, b = row["a"], row["b"]
-                if a == b:
+                if row["a"] == row["b"]:
                     continue
-                if variant == "offsets":
-                    off = np.memmap(local, dtype="<u8", mode="r", offset=start, shape=(n + 1,))[a : b + 1].astype(np.int64)
-                    cols_at = start + (n + 1) * 8
-                else:
-                    part = np.memmap(local, dtype="<u4", mode="r", offset=start, shape=(n,))[a:b].astype(np.int64)
-                    off = row["base"] + np.concatenate([[0], np.cumsum(part)])
-                    cols_at = start + n * 4
-                src = np.repeat(np.arange(a, b), np.diff(off))
-                dst = np.fromfile(local, dtype="<u4", count=int(off[-1] - off[0]), offset=cols_at + 4 * int(off[0])).astype(np.int64)
-                for at in range(0, len(src), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(src[at : at + 100_000]), pa.array(dst[at : at + 100_000])], ["src", "dst"])
+                off = offsets_of(row)
+                src = np.repeat(np.arange(row["a"], row["b"]), np.diff(off))
+                with opened(cols) as f:
+                    for at in range(0, len(src), READ_AT_ONCE):
+                        dst = _numbers(f, "<u4", min(READ_AT_ONCE, len(src) - at), cols_at + 4 * (int(off[0]) + at))
+                        yield pa.RecordBatch.from_arrays([pa.array(src[at : at + READ_AT_ONCE]), pa.array(dst)], ["src", "dst"])
+
+    return ranges.repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, n // piece + 1))).mapInArrow(run, "src bigint, dst bigint")
 
-    return ranges.repartition(max(1, min(64, n // piece + 1))).mapInArrow(run, "src bigint, dst bigint")
+
+#: Numbers that a task reads at once.
+READ_AT_ONCE = 100_000
+
+
+def read_csr(spark: SparkSession, path: str, variant: str = "offsets", piece: int = 1 << 20) -> DataFrame:
+    """``(src, dst)``: the arcs of a binary file, in a shared store or on this machine.
+
+    ``offsets``: four u64 (4, 8, vertices, arcs), u64 offsets[vertices + 1], u32
+    neighbours[arcs]. ``degrees``: three u32 (any, vertices, arcs), u32 degrees[vertices], u32
+    neighbours[arcs]. A task reads the lists of ``piece`` vertices. Sizes that
+    don't fit are an error.
+    """
+    by_offset = variant == "offsets"
+    head_kind, head = ("<u8", 4) if by_offset else ("<u4", 3)
+    start = np.dtype(head_kind).itemsize * head
+    with opened(path) as f:
+        numbers = _numbers(f, head_kind, head, 0) if f.size() >= start else np.zeros(head, np.int64)
+        n, m = (int(x) for x in numbers[-2:])
+        cols_at = start + ((n + 1) * 8 if by_offset else n * 4)
+        if f.size() != cols_at + m * 4 or (by_offset and numbers[:2].tolist() != [4, 8]):
+            raise ValueError(f"{path} is no such file")
+        ranges, base = [], 0
+        for a, b in _ranges(n, piece):
+            ranges.append((a, b, base))
+            base += 0 if by_offset else int(_numbers(f, "<u4", b - a, start + 4 * a).sum())
+
+    def offsets_of(row: dict) -> np.ndarray:
+        a, b = row["a"], row["b"]
+        with opened(path) as f:
+            if by_offset:
+                return _numbers(f, "<u8", b - a + 1, start + 8 * a)
+            return row["base"] + np.concatenate([[0], np.cumsum(_numbers(f, "<u4", b - a, start + 4 * a))])
+
+    return _lists(spark, n, piece, spark.createDataFrame(ranges, "a bigint, b bigint, base bigint"), offsets_of, path, cols_at)
+
+
+def read_gamma(spark: SparkSession, base: str, piece: int = 1 << 20) -> DataFrame:
+    """``(src, dst)``: the arcs of ``base``.col (u32 vertices, u64 offsets) and ``base``.dst (u64 arcs, u32 neighbours)."""
+    with opened(f"{base}.col") as f:
+        n = int(_numbers(f, "<u4", 1, 0)[0])
+
+    def offsets_of(row: dict) -> np.ndarray:
+        with opened(f"{base}.col") as f:
+            return _numbers(f, "<u8", row["b"] - row["a"] + 1, 4 + 8 * row["a"])
+
+    return _lists(spark, n, piece, spark.createDataFrame(_ranges(n, piece), "a bigint, b bigint"), offsets_of, f"{base}.dst", 8)
 
 
 def read_labelled(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -139,15 +175,16 @@ def read_parts(spark: SparkSession, path: str, with_count: bool = False) -> Data
 
 def read_degrees(spark: SparkSession, path: str) -> DataFrame:
     """``(v, deg)`` of a degree cache: u64 vertices, u64 degrees[vertices]."""
-    local = path.removeprefix("file://")
-    n = int(np.fromfile(local, dtype="<u8", count=1)[0])
+    with opened(path) as f:
+        n = int(_numbers(f, "<u8", 1, 0)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.array(np.fromfile(local, dtype="<u8", count=b - a, offset=8 * (a + 1)).astype(np.int64))], ["v", "deg"])
+                with opened(path) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, b)), pa.array(_numbers(f, "<u8", b - a, 8 * (a + 1)))], ["v", "deg"])
 
-    return spark.createDataFrame(list(_csr_ranges(n, 100_000)) or [(0, 0)], "a bigint, b bigint").mapInArrow(run, "v bigint, deg bigint")
+    return spark.createDataFrame(_ranges(n, READ_AT_ONCE), "a bigint, b bigint").mapInArrow(run, "v bigint, deg bigint")
 
 
 def arcs_of(adj: DataFrame) -> DataFrame:

@@ -10,8 +10,11 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import numpy as np
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +26,21 @@ def _text(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *(p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts))
 
 
+def created(path: str) -> pa.NativeFile:
+    """A new file of a shared store by its URI, or of the machine by its path."""
+    store, name = FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+    store.create_dir(os.path.dirname(name), recursive=True)
+    return store.open_output_stream(name)
+
+
 def write_lines(lines: DataFrame, path: str, *order: str, single: bool = False) -> None:
     """The column ``value`` in the given order, as a folder of text parts; ``single`` writes one file by a single ordered stream through the driver."""
     if not single:
         (lines.orderBy(*order) if order else lines).select("value").write.mode("overwrite").text(path)
         return
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
+    with created(path) as f:
         for row in (lines.orderBy(*order) if order else lines).select("value").toLocalIterator():
-            f.write(row.value + "\n")
+            f.write((row.value + "\n").encode())
 
 
 def peregrine_edges(edges: DataFrame) -> DataFrame:
@@ -104,10 +114,10 @@ def part_lines(parts: DataFrame, column: str = "part") -> DataFrame:
 def write_bins(bins: DataFrame, path: str) -> None:
     """A bin map: the number of bins, then the bin of each vertex, a line each."""
     n = bins.select("bin").distinct().count()
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"{n}\n")
+    with created(path) as f:
+        f.write(f"{n}\n".encode())
         for row in bins.orderBy("v").select("bin").toLocalIterator():
-            f.write(f"{row.bin}\n")
+            f.write(f"{row.bin}\n".encode())
 
 
 def bin_statistics(bins: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,64 +132,72 @@ def degree_json(edges: DataFrame, least_max: int = 10) -> str | None:
     return json.dumps({str(d): rows[d] for d in sorted(rows)}) if rows and max(rows) > least_max else None
 
 
-def _neighbour_stream(edges: DataFrame) -> Iterator[tuple[int, int]]:
-    for row in arcs(edges).orderBy("src", "dst").toLocalIterator(prefetchPartitions=True):
-        yield row.src, row.dst
+def _chunks(values: Iterator[int], kind: str, at_once: int = 1_000_000) -> Iterator[np.ndarray]:
+    while len(part := np.fromiter(islice(values, at_once), np.int64)):
+        yield part.astype(kind)
+
+
+def _degree_stream(edges: DataFrame, vertices: int) -> Iterator[int]:
+    """The degree of each vertex from 0 to ``vertices`` - 1, in order."""
+    every = edges.sparkSession.range(vertices).select(F.col("id").alias("v"))
+    for row in every.join(degrees(edges), "v", "left").orderBy("v").select(F.coalesce("deg", F.lit(0)).alias("deg")).toLocalIterator(prefetchPartitions=True):
+        yield row.deg
+
+
+def _write_offsets(f: pa.NativeFile, edges: DataFrame, vertices: int) -> None:
+    for part in _chunks(accumulate(_degree_stream(edges, vertices), initial=0), "<u8"):
+        f.write(part.tobytes())
 
 
-def _degrees_array(edges: DataFrame, n: int) -> np.ndarray:
-    out = np.zeros(n, dtype="<u8")
-    for row in degrees(edges).toLocalIterator():
-        out[row.v] = row.deg
-    return out
+def _write_neighbours(f: pa.NativeFile, edges: DataFrame) -> None:
+    stream = (row.dst for row in arcs(edges).orderBy("src", "dst").toLocalIterator(prefetchPartitions=True))
+    for part in _chunks(stream, "<u4"):
+        f.write(part.tobytes())
 
 
-def write_csr(edges: DataFrame, path: str, vertices: int) -> None:
-    """The binary file of densely numbered normalised edges: u64 4, 8, vertices, arcs, offsets; u32 neighbours. Streams; the driver holds one number per vertex."""
-    deg = _degrees_array(edges, vertices)
-    offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(deg, dtype="<u8")])
-    with open(path, "wb") as f:
-        np.array([4, 8, vertices, int(offsets[-1])], dtype="<u8").tofile(f)
-        offsets.astype("<u8").tofile(f)
-        _write_u32(f, edges)
+def _numbers(kind: str, *values: int) -> bytes:
+    return np.array(values, dtype=kind).tobytes()
 
 
-def _write_u32(f, edges: DataFrame) -> None:  # noqa: ANN001
-    held: list[int] = []
-    for _, dst in _neighbour_stream(edges):
-        held.append(dst)
-        if len(held) == 1_000_000:
-            np.array(held, dtype="<u4").tofile(f)
-            held = []
-    np.array(held, dtype="<u4").tofile(f)
+def write_csr(edges: DataFrame, path: str, vertices: int, variant: str = "offsets") -> None:
+    """The binary file of densely numbered normalised edges, in one of the layouts of ``read_csr``. Streams through the driver, which holds no more than a part."""
+    arc_count = 2 * edges.count()
+    with created(path) as f:
+        if variant == "offsets":
+            f.write(_numbers("<u8", 4, 8, vertices, arc_count))
+            _write_offsets(f, edges, vertices)
+        else:
+            f.write(_numbers("<u4", 4, vertices, arc_count))
+            for part in _chunks(_degree_stream(edges, vertices), "<u4"):
+                f.write(part.tobytes())
+        _write_neighbours(f, edges)
 
 
 def write_gamma(edges: DataFrame, base: str, vertices: int) -> None:
     """``base``.col (u32 vertices, u64 offsets), .dst (u64 arcs, u32 neighbours) and .vlabel (u32 vertices, bytes of 1)."""
-    deg = _degrees_array(edges, vertices)
-    offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(deg, dtype="<u8")]).astype("<u8")
-    with open(f"{base}.col", "wb") as f:
-        np.array([vertices], dtype="<u4").tofile(f)
-        offsets.tofile(f)
-    with open(f"{base}.dst", "wb") as f:
-        offsets[-1:].tofile(f)
-        _write_u32(f, edges)
-    with open(f"{base}.vlabel", "wb") as f:
-        np.array([vertices], dtype="<u4").tofile(f)
-        np.ones(vertices, dtype="u1").tofile(f)
+    with created(f"{base}.col") as f:
+        f.write(_numbers("<u4", vertices))
+        _write_offsets(f, edges, vertices)
+    with created(f"{base}.dst") as f:
+        f.write(_numbers("<u8", 2 * edges.count()))
+        _write_neighbours(f, edges)
+    with created(f"{base}.vlabel") as f:
+        f.write(_numbers("<u4", vertices))
+        for at in range(0, vertices, 1_000_000):
+            f.write(b"\x01" * min(1_000_000, vertices - at))
 
 
 def write_degrees(edges: DataFrame, path: str, vertices: int) -> None:
     """The degree cache: u64 vertices, u64 degrees."""
-    with open(path, "wb") as f:
-        np.array([vertices], dtype="<u8").tofile(f)
-        _degrees_array(edges, vertices).tofile(f)
+    with created(path) as f:
+        f.write(_numbers("<u8", vertices))
+        for part in _chunks(_degree_stream(edges, vertices), "<u8"):
+            f.write(part.tobytes())
 
 
 def write_pattern(p: Pattern, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(as_text(p))
+    with created(path) as f:
+        f.write(as_text(p).encode())
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
