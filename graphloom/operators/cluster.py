@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import arcs, degrees
-from graphloom.tables import written
+from graphloom.tables import forget, written
 
 #: Similarities are compared after rounding, so that the order of a sum decides nothing.
 DIGITS = 12
@@ -83,9 +83,12 @@ def kmeans(edges: DataFrame, parts: str | int = 4, iterations: int = 20, seed: i
     for k in levels_of(str(parts)):
         centroids = _first_centroids(vectors, placed, deg, k, seed, spread)
         now = written(_assigned(vectors, placed, centroids))
+        forget(centroids)
         for _ in range(iterations):
-            ahead = written(_assigned(vectors, placed, written(_means(vectors, now))))
+            means = written(_means(vectors, now))
+            ahead = written(_assigned(vectors, placed, means))
             same = now.join(ahead, ["group", "v", "k"], "left_anti").isEmpty()
+            forget(now, means)
             now = ahead
             if same:
                 break
@@ -252,7 +255,9 @@ def split_bins(edges: DataFrame, bins: DataFrame, devices: int, times: int = 1)
         name = now.agg(F.max("bin")).first()[0] + 1
         turn = F.row_number().over(Window.partitionBy("bin").orderBy(F.desc("deg"), "v"))
         part = now.where(F.col("bin") == top.bin).join(deg, "v").select("v", F.when(turn % 2 == 0, F.lit(name)).otherwise(F.col("bin")).alias("bin"))
-        now = written(now.where(F.col("bin") != top.bin).union(part))
+        ahead = written(now.where(F.col("bin") != top.bin).union(part))
+        forget(now)
+        now = ahead
     loads = now.join(deg, "v").groupBy("bin").agg(F.sum("deg").alias("load"))
     names = loads.select("bin", (F.row_number().over(Window.orderBy(F.desc("load"), "bin")) - 1).cast("int").alias("_new"))
     return now.join(names, "bin").select("v", F.col("_new").alias("bin"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import arcs, degrees, numbered, recoded, two_hop
-from graphloom.tables import written
+from graphloom.tables import forget, written
 
 
 #: When at most this part of the vertices changed in a round, the next one looks only at their neighbours.
@@ -18,13 +18,15 @@ WORTH = 2_000_000
 def _lowered(step: DataFrame, now: DataFrame) -> DataFrame:
     """``(v, was, core)`` for the ends of ``step``: the largest h such that h neighbours have h or more, no more than before.
 
-    Neighbours are counted per vertex and value before the shuffle, so those of a hub never meet as a list.
+    Neighbours are counted per vertex and value before the shuffle, so those of a
+    hub never meet as a list, and only these counts are joined with what their
+    vertex was: a round shuffles the arcs once.
     """
     theirs = now.select(F.col("v").alias("dst"), F.col("core").alias("_theirs"))
-    mine = now.select(F.col("v").alias("src"), F.col("core").alias("was"))
-    counts = step.join(theirs, "dst").join(mine, "src").groupBy(F.col("src").alias("v"), "was", F.least("_theirs", "was").alias("_value")).agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(Window.partitionBy("v").orderBy(F.desc("_value")))
-    return counts.withColumn("_h", F.least("_value", above)).groupBy("v", "was").agg(F.max("_h").alias("core"))
+    counts = step.join(theirs, "dst").groupBy(F.col("src").alias("v"), "_theirs").agg(F.count("*").alias("_n"))
+    capped = counts.join(now.select("v", F.col("core").alias("was")), "v").withColumn("_value", F.least("_theirs", "was"))
+    above = F.sum("_n").over(Window.partitionBy("v").orderBy(F.desc("_value")))  # with all of the same value
+    return capped.withColumn("_h", F.least("_value", above)).groupBy("v", "was").agg(F.max("_h").alias("core"))
 
 
 def core_numbers(edges: DataFrame, most_rounds: int = 10_000, worth: int = WORTH) -> DataFrame:
@@ -33,26 +35,32 @@ def core_numbers(edges: DataFrame, most_rounds: int = 10_000, worth: int = WORTH
     Starts from the degrees; each round lowers the vertices to what their
     neighbours allow, until nothing changes. Once few vertices change, a round
     over many arcs reads only those of their neighbours; the result is the same.
+    Of the tables of the rounds only that of the last one is kept.
     """
     step = written(arcs(edges))
     now = written(step.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("core")))
     vertices, many, few = now.count(), step.count() >= worth, None
     for _ in range(most_rounds):
-        part = step
-        if few is not None:
-            touched = step.join(few, "dst", "left_semi").select("src").distinct()
-            part = step.join(touched, "src", "left_semi")
-        ahead = written(_lowered(part, now))
-        changed = ahead.where(F.col("core") < F.col("was")).select(F.col("v").alias("dst"))
-        number = changed.count()
         if few is None:
-            now = ahead.select("v", "core")
+            ahead = written(_lowered(step, now.select("v", "core")))
+        else:
+            touched = step.join(few, "dst", "left_semi").select("src").distinct()
+            ahead = written(_lowered(step.join(touched, "src", "left_semi"), now.select("v", "core")))
+        number = ahead.where(F.col("core") < F.col("was")).count()
+        whole, looked_at = few is None, few
+        few = written(ahead.where(F.col("core") < F.col("was")).select(F.col("v").alias("dst"))) if many and 0 < number <= FEW * vertices else None
+        if whole:
+            before, now = now, ahead
         elif number:
             new = ahead.select("v", F.col("core").alias("_new"))
-            now = written(now.join(new, "v", "left").select("v", F.coalesce("_new", "core").alias("core")))
+            before, now = now, written(now.join(new, "v", "left").select("v", F.coalesce("_new", "core").alias("core")))
+            forget(ahead)
+        else:
+            before = ahead
+        forget(before, looked_at)
         if not number:
-            return now
-        few = changed if many and number <= FEW * vertices else None
+            forget(step)
+            return now.select("v", "core")
     raise ValueError(f"not stable after {most_rounds} rounds")
 
 
@@ -95,9 +103,12 @@ def k_core(edges: DataFrame, least: int) -> DataFrame:
     while True:
         few = written(degrees(now).where(F.col("deg") < least).select("v"))
         if few.isEmpty():
+            forget(few)
             return now
         kept = now.join(few.withColumnRenamed("v", "src"), "src", "left_anti").join(few.withColumnRenamed("v", "dst"), "dst", "left_anti")
-        now = written(kept.select("src", "dst"))
+        ahead = written(kept.select("src", "dst"))
+        forget(now, few)
+        now = ahead
 
 
 def dense_core(edges: DataFrame, least_degree: int, least_two_hop: int) -> DataFrame:
@@ -107,6 +118,9 @@ def dense_core(edges: DataFrame, least_degree: int, least_two_hop: int) -> DataF
         near = two_hop(now).groupBy(F.col("a").alias("v")).agg(F.count("*").alias("n"))
         kept = written(near.where(F.col("n") >= least_two_hop).select("v"))
         if kept.count() == degrees(now).count():
+            forget(kept)
             return now
-        now = now.join(kept.withColumnRenamed("v", "src"), "src", "left_semi").join(kept.withColumnRenamed("v", "dst"), "dst", "left_semi")
-        now = k_core(now.select("src", "dst"), least_degree)
+        fewer = now.join(kept.withColumnRenamed("v", "src"), "src", "left_semi").join(kept.withColumnRenamed("v", "dst"), "dst", "left_semi")
+        ahead = k_core(fewer.select("src", "dst"), least_degree)
+        forget(now, kept)
+        now = ahead

@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = "file://" + folder
         sc.setCheckpointDir(found)
-    return found
+    # Spark gives back a folder of this machine with a single slash
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -48,17 +52,51 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The folders of tables that were written and not yet deleted.
+_folders: dict[str, SparkSession] = {}
+_folder_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, *partition_by: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Cuts the lineage without holding blocks on executors: a lost executor loses
-    nothing. The files go when the driver's Python ends.
+    nothing. The files go with ``forget``, at the end of ``temporary_tables``, or
+    when the driver's Python ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
+    _folders[path] = spark
     df.write.parquet(path, partitionBy=list(partition_by) or None)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folder_of[out] = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes what ``written`` made of the ``tables``; no later step may read them, nor what is not yet computed from them."""
+    for df in tables:
+        path = _folder_of.pop(df, None) if df is not None else None
+        if path is not None:
+            _delete(_folders.pop(path), path)
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Deletes at its end all tables that were written within; what is to stay must be stored elsewhere by then."""
+    before = set(_folders)
+    try:
+        yield
+    finally:
+        for path in set(_folders) - before:
+            _delete(_folders.pop(path), path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    while _folders:
+        path, spark = _folders.popitem()
+        _delete(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

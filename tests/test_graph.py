@@ -4,6 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import tables
 from graphloom.functions import arrays
 from graphloom.operators import app, cliques, core, graph, sets
 from graphloom.operators.graph import copurchase
@@ -173,3 +174,30 @@ def test_arrays(spark):
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     got = df.select(F.array_sort(arrays.intersection(a, b, c)), arrays.intersection_size(a, b), arrays.probed(a, b), arrays.difference(a, b), arrays.is_subset(c, b)).first()
     assert tuple(got) == ([2, 4], 2, [2, 4], [1, 3], True)
+
+
+def test_tables_of_rounds_go(some):
+    edges, near, df = some
+    for worth in (0, 10**9):
+        before = set(tables._folders)
+        found = core.core_numbers(df, worth=worth)
+        assert len(set(tables._folders) - before) <= 2
+        assert found.count() == len(near)
+    before = set(tables._folders)
+    inner = {r.v for r in core.core_numbers(df).where("core >= 3").collect()}
+    assert rows(core.k_core(df, 3)) == {e for e in edges if inner.issuperset(e)}
+    with tables.temporary_tables():
+        core.core_numbers(df).collect()
+        assert len(set(tables._folders) - before) > 1
+    kept = set(tables._folders)
+    written(df)
+    assert len(set(tables._folders) - kept) == 1
+
+
+def test_forget_leaves_other_tables(some):
+    _, _, df = some
+    own = written(df)
+    tables.forget(own, df.limit(1), None)
+    assert df.count() > 0
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        own.count()
