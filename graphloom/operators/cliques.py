@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.runs import by_run
 from graphloom.operators.graph import degree_order
 from graphloom.tables import written
 
@@ -38,24 +39,17 @@ def maximal_in(candidates: set[int], excluded: set[int], near: dict[int, set[int
             x.add(v)
 
 
-def _root_cliques(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _root_cliques(columns: list[list]) -> Iterator[list[int]]:
     """One root: rows ``(root, u, w)`` say that u is a candidate if w is null, else that u is and is adjacent to w, excluded or candidate."""
-    root, candidates, near, all_ends = None, set(), {}, set()
-    for batch in batches:
-        for r, u, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            root = r
-            candidates.add(u)
-            if w is not None:
-                near.setdefault(u, set()).add(w)
-                near.setdefault(w, set()).add(u)
-                all_ends.add(w)
-    held: list[list[int]] = []
+    root, candidates, near, all_ends = columns[0][0], set(), {}, set()
+    for u, w in zip(columns[1], columns[2], strict=True):
+        candidates.add(u)
+        if w is not None:
+            near.setdefault(u, set()).add(w)
+            near.setdefault(w, set()).add(u)
+            all_ends.add(w)
     for clique in maximal_in(candidates, all_ends - candidates, near):
-        held.append(sorted([root, *clique]))
-        if len(held) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int64()))], ["members"])
-            held = []
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int64()))], ["members"])
+        yield sorted([root, *clique])
 
 
 def maximal_cliques(edges: DataFrame) -> DataFrame:
@@ -68,7 +62,7 @@ def maximal_cliques(edges: DataFrame) -> DataFrame:
     excluded = F.struct(F.col("b").alias("root"), F.col("c").alias("u"), F.col("a").alias("w"))
     near = triangle.select(F.explode(F.array(candidate, excluded)).alias("r")).select("r.*")
     rows = out.select(F.col("src").alias("root"), F.col("dst").alias("u"), F.lit(None).cast("bigint").alias("w")).unionByName(near)
-    return rows.groupBy("root").applyInArrow(_root_cliques, "members array<bigint>")
+    return by_run(rows, _root_cliques, pa.list_(pa.int64()), "members", "members array<bigint>")
 
 
 def maximal_cliques_by_level(edges: DataFrame, most_levels: int = 1000) -> DataFrame:

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.graph import adjacency, arcs, degree_order, degree_recoded, degrees
-from graphloom.plans.matchplan import PREFIX, Level, MatchPlan, filter_order, one_sided, plan, side_needed, tree
+from graphloom.operators.graph import adjacency, arcs, degree_order, degree_recoded, degrees, existing_edges
+from graphloom.plans.matchplan import PREFIX, Level, MatchPlan, candidate_order, filter_order, one_sided, plan, side_needed, tree
 from graphloom.plans.pattern import Pattern
 from graphloom.tables import written
 
@@ -36,16 +36,13 @@ def _columns(p: Pattern) -> list[str]:
     return [f"q{u}" for u in range(p.n)]
 
 
-def expand_rows(edges: DataFrame, p: Pattern, candidates: dict[int, DataFrame] | None = None, order: list[int] | None = None) -> DataFrame:
-    """Matches ``(q0, q1, ...)`` by one join per pattern edge; with ``candidates`` only among those."""
+def expand_rows(edges: DataFrame, p: Pattern, order: list[int] | None = None) -> DataFrame:
+    """Matches ``(q0, q1, ...)`` by one join per pattern edge."""
     step, levels = arcs(edges), plan(p, order=order).levels
-    allowed = lambda df, u: df if candidates is None else df.join(candidates[u].withColumnRenamed("v", f"q{u}"), f"q{u}", "left_semi")
-    u = levels[0].vertex
-    rows = allowed(step.select(F.col("src").alias(f"q{u}")).distinct(), u)
+    rows = step.select(F.col("src").alias(f"q{levels[0].vertex}")).distinct()
     for level in levels[1:]:
         u, last = level.vertex, level.backward[-1]
         rows = rows.join(step.select(F.col("src").alias(f"q{last}"), F.col("dst").alias(f"q{u}")), f"q{last}").where(_all(_tests(level, F.col(f"q{u}"))))
-        rows = allowed(rows, u)
         for b in level.backward[:-1]:
             rows = rows.join(step.select(F.col("src").alias(f"q{b}"), F.col("dst").alias(f"q{u}")), [f"q{b}", f"q{u}"], "left_semi")
     return rows.select(*_columns(p))
@@ -214,8 +211,34 @@ def candidate_edges(edges: DataFrame, p: Pattern, of: dict[int, DataFrame]) -> D
     return reduce(DataFrame.union, parts)
 
 
+def candidate_rows(edges: DataFrame, p: Pattern) -> DataFrame:
+    """Matches ``(q0, q1, ...)`` along the arcs between candidates, from the vertex with fewest candidates on.
+
+    The arcs of each pattern edge are made once, stored by edge; each level joins
+    the arcs of one of its edges and keeps the rows that the arcs of the others
+    have too, so no level sees a vertex that is not a candidate.
+    """
+    of = dpiso_candidates(edges, p)
+    sizes = {r.u: r.candidates for r in candidate_sizes(of).collect()}
+    between = written(candidate_edges(edges, p, of), "u", "u2")
+    levels = plan(p, order=candidate_order(p, [sizes[u] for u in range(p.n)])).levels
+
+    def arcs_of(a: int, b: int) -> DataFrame:
+        u, w = min(a, b), max(a, b)
+        own = between.where((F.col("u") == u) & (F.col("u2") == w))
+        return own.select(F.col("v").alias(f"q{u}"), F.col("v2").alias(f"q{w}"))
+
+    rows = of[levels[0].vertex].select(F.col("v").alias(f"q{levels[0].vertex}"))
+    for level in levels[1:]:
+        u, last = level.vertex, level.backward[-1]
+        rows = rows.join(arcs_of(last, u), f"q{last}").where(_all(_tests(level, F.col(f"q{u}"))))
+        for b in level.backward[:-1]:
+            rows = rows.join(arcs_of(b, u), [f"q{b}", f"q{u}"], "left_semi")
+    return rows.select(*_columns(p))
+
+
 def candidate_count(edges: DataFrame, p: Pattern) -> DataFrame:
-    return expand_rows(edges, p, dpiso_candidates(edges, p)).agg(F.count("*").alias("n"))
+    return candidate_rows(edges, p).agg(F.count("*").alias("n"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -223,6 +246,6 @@ def triangles(edges: DataFrame) -> DataFrame:
     out = written(degree_order(edges))
     ab, ac = out.select(F.col("src").alias("a"), F.col("dst").alias("b")), out.select(F.col("src").alias("a"), F.col("dst").alias("c"))
     wedge = ab.join(ac, "a").where(F.col("b") < F.col("c"))
-    closed = wedge.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("c")), ["b", "c"])
+    closed = existing_edges(wedge.select(F.col("a").alias("_a"), F.col("b").alias("a"), F.col("c").alias("b")), edges).select(F.col("_a").alias("a"), F.col("a").alias("b"), F.col("b").alias("c"))
     sides = F.array_sort(F.array("a", "b", "c"))
     return closed.select(sides.alias("t")).select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))

@@ -7,17 +7,23 @@ apart, so all such sets of which v is the smallest member lie within two steps o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.runs import by_run
 from graphloom.operators.core import dense_core
 from graphloom.operators.graph import arcs, two_hop
 from graphloom.operators.sets import maximal_sets
 from graphloom.tables import written
 
 
+#: The ways to leave out branches, see ``mine``.
+RULES = frozenset({"bounds", "critical", "cover"})
+
+
 def needed(share: tuple[int, int], size: int) -> int:
     """Neighbours inside that each of ``size`` members must have: ``size - 1`` times the share, rounded up, in whole numbers."""
     num, den = share
@@ -35,48 +41,81 @@ def is_quasi_clique(members: set[int], near: dict[int, set[int]], share: tuple[i
     return all(len(near[v] & members) >= least for v in members)
 
 
-def mine(fixed: set[int], candidates: set[int], near: dict[int, set[int]], share: tuple[int, int], least_size: int) -> Iterator[frozenset[int]]:
+def mine(fixed: set[int], candidates: set[int], near: dict[int, set[int]], share: tuple[int, int], least_size: int, rules: frozenset[str] = RULES, states: list[int] | None = None) -> Iterator[frozenset[int]]:
     """Some of the quasi-cliques of at least ``least_size``, the maximal ones among them, that contain ``fixed`` and otherwise only ``candidates``.
 
-    Candidates and branches are dropped by what degrees allow: a member with d
-    neighbours among members and candidates can be in sets of at most
-    d * den / num + 1, and every set needs that many for its size. Two members are at
-    most two steps apart, and adjacent if the share is one.
+    Two members are at most two steps apart, and adjacent if the share is one.
+    Branches and candidates go by these ``rules``, which change no maximal result:
+
+    ``bounds``: the degrees among the members, and their sum together with those of
+    the candidates best connected to them, bound from above and below how many
+    candidates a result can add. ``critical``: a member that needs all its
+    neighbours even for the least of these numbers brings them all in. ``cover``:
+    candidates that a further candidate, and every member not next to it, are all
+    adjacent to make no maximal result by themselves, so none of them starts a
+    branch. ``states`` gets the number of branches looked at.
     """
     num, den = share
     close = {v: set(near[v]) if num == den else near[v].union(*(near[u] for u in near[v])) - {v} for v in near}
+    need = lambda size: needed(share, size)
 
-    def shrunk(members: set[int], rest: set[int]) -> set[int] | None:
-        """``rest`` without what can't join; None if the branch holds nothing."""
+    def shrunk(members: set[int], rest: set[int]) -> tuple[set[int], set[int]] | None:
+        """The members and candidates of the branch by the rules; None if it holds nothing."""
         while True:
-            both = members | rest
-            room = len(both)
-            least = needed(share, max(least_size, len(members)))
-            for v in members:
-                d = len(near[v] & both)
-                if d < least:
+            size, both = len(members), members | rest
+            inside = {v: len(near[v] & members) for v in both}
+            total = {v: len(near[v] & both) for v in both}
+            fewest, most = max(0, least_size - size), min([len(rest)] + [total[v] * den // num + 1 - size for v in members])
+            if "bounds" in rules and members:
+                ahead = [0, *accumulate(sorted((inside[u] for u in rest), reverse=True))]
+                own, weakest = sum(inside[v] for v in members), min(inside[v] for v in members)
+                sizes = [t for t in range(fewest, most + 1) if weakest + t >= need(size + t) and own + ahead[t] >= size * need(size + t)]
+                if not sizes:
                     return None
-                room = min(room, d * den // num + 1)
-            if room < max(least_size, len(members)):
+                fewest, most = sizes[0], sizes[-1]
+            if most < fewest or any(total[v] < need(size + fewest) for v in members):
                 return None
-            grown = needed(share, max(least_size, len(members) + 1))
-            dropped = {v for v in rest if len(near[v] & both) < grown}
+            if "critical" in rules and fewest:
+                forced = set().union(*(near[v] & rest for v in members if total[v] == need(size + fewest)))
+                if forced:
+                    members, rest = members | forced, rest - forced
+                    for u in forced:
+                        rest = rest & close[u]
+                        if members - close[u] - {u}:
+                            return None
+                    continue
+            at_least = need(size + max(fewest, 1))
+            dropped = {u for u in rest if total[u] < at_least or ("bounds" in rules and inside[u] + most - 1 < need(size + most))}
             if not dropped:
-                return rest
+                return members, rest
             rest = rest - dropped
 
+    def covered(members: set[int], rest: set[int]) -> set[int]:
+        enough, best = need(len(members) + 1), set()
+        weak = {v for v in members if len(near[v] & members) < enough}
+        for u in sorted(rest):
+            if len(near[u] & members) >= enough and weak <= near[u]:
+                own = rest & near[u]
+                for v in members - near[u]:
+                    own = own & near[v]
+                best = max(best, own, key=len)
+        return best
+
     def search(members: set[int], rest: set[int]) -> Iterator[frozenset[int]]:
+        if states is not None:
+            states[0] += 1
         kept = shrunk(members, rest)
         if kept is None:
             return
-        whole = members | kept
+        members, rest = kept
+        whole = members | rest
         if len(whole) >= least_size and is_quasi_clique(whole, near, share):
             yield frozenset(whole)
             return
         found = False
-        left = set(kept)
+        left, skipped = set(rest), covered(members, rest) if "cover" in rules else set()
         # the most connected first, so that the last branches are small
-        for v in sorted(kept, key=lambda u: (-len(near[u] & whole), u)):
+        for v in sorted(rest - skipped, key=lambda u: (-len(near[u] & whole), u)):
             left.discard(v)
             for s in search(members | {v}, left & close[v]):
                 found = True
@@ -90,35 +129,35 @@ def mine(fixed: set[int], candidates: set[int], near: dict[int, set[int]], share
 
 
 def _miner(share: tuple[int, int], least_size: int):  # noqa: ANN202
-    """For one group: rows ``(id, fixed, u, w)``; fixed names the members given, u and w are adjacent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed: set[int] = set()
-        near: dict[int, set[int]] = {}
-        for batch in batches:
-            for given, u, w in zip(batch.column("fixed").to_pylist(), batch.column("u").to_pylist(), batch.column("w").to_pylist(), strict=True):
-                fixed = set(given)
-                near.setdefault(u, set()).add(w)
-                near.setdefault(w, set()).add(u)
-        found = []
+    """For one run: rows ``(id, u, w, fixed)``; fixed names the members given, u and w are adjacent."""
+
+    def run(columns: list[list]) -> Iterator[list[int]]:
+        fixed, near = set(columns[3][0]), {}
+        for u, w in zip(columns[1], columns[2], strict=True):
+            near.setdefault(u, set()).add(w)
+            near.setdefault(w, set()).add(u)
         if fixed <= near.keys():
-            found = [sorted(s) for s in mine(fixed, set(near) - fixed, near, share, least_size)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
+            for s in mine(fixed, set(near) - fixed, near, share, least_size):
+                yield sorted(s)
 
     return run
 
 
+def _mined(rows: DataFrame, share: tuple[int, int], least_size: int) -> DataFrame:
+    return maximal_sets(by_run(rows, _miner(share, least_size), pa.list_(pa.int64()), "members", "members array<bigint>"))
+
+
 def quasi_cliques(edges: DataFrame, share: tuple[int, int], least_size: int) -> DataFrame:
     """``(members)``: the maximal ``share`` quasi-cliques of at least ``least_size`` (two or more) of normalised edges."""
     _checked(share)
     least = needed(share, least_size)
-    core = written(dense_core(edges, least, least_size - 1))
+    core = dense_core(edges, least, least_size - 1)
     near = written(two_hop(core))
     group = near.where(F.col("b") > F.col("a")).select(F.col("a").alias("root"), F.col("b").alias("m"))
     inside = group.union(group.select("root", F.col("root").alias("m")).distinct())
     both = core.join(inside.select("root", F.col("m").alias("src")), "src").join(inside.select("root", F.col("m").alias("dst")), ["root", "dst"])
-    rows = both.select(F.col("root").alias("id"), F.array("root").alias("fixed"), F.col("src").alias("u"), F.col("dst").alias("w"))
-    return maximal_sets(rows.groupBy("id").applyInArrow(_miner(share, least_size), "members array<bigint>"))
+    rows = both.select(F.col("root").alias("id"), F.col("src").alias("u"), F.col("dst").alias("w"), F.array("root").alias("fixed"))
+    return _mined(rows, share, least_size)
 
 
 def common_two_hop(near: DataFrame, kernels: DataFrame) -> DataFrame:
@@ -138,11 +177,11 @@ def kernel_expand(edges: DataFrame, kernels: DataFrame, share: tuple[int, int],
     _checked(share)
     if first is not None:
         kernels = kernels.orderBy("kernel_id", "members").limit(first)
-    core = written(dense_core(edges, needed(share, least_size), least_size - 1))
+    core = dense_core(edges, needed(share, least_size), least_size - 1)
     near = written(two_hop(core))
     sets = kernels.select(F.array_sort(F.array_distinct("members")).alias("members")).distinct()
     given = written(sets.select(F.monotonically_increasing_id().alias("kernel_id"), "members"))
     inside = written(common_two_hop(near, given).union(given.select("kernel_id", F.explode("members").alias("v"))))
     both = core.join(inside.select("kernel_id", F.col("v").alias("src")), "src").join(inside.select("kernel_id", F.col("v").alias("dst")), ["kernel_id", "dst"])
-    rows = both.join(given, "kernel_id").select(F.col("kernel_id").alias("id"), F.col("members").alias("fixed"), F.col("src").alias("u"), F.col("dst").alias("w"))
-    return maximal_sets(rows.groupBy("id").applyInArrow(_miner(share, least_size), "members array<bigint>"))
+    rows = both.join(given, "kernel_id").select(F.col("kernel_id").alias("id"), F.col("src").alias("u"), F.col("dst").alias("w"), F.col("members").alias("fixed"))
+    return _mined(rows, share, least_size)

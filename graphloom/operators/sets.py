@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.arrays import is_subset
 from graphloom.tables import written
 
 
@@ -28,7 +29,7 @@ def maximal_sets(sets: DataFrame) -> DataFrame:
     often = each.groupBy("_member").agg(F.count("*").alias("_n"))
     rarest = each.join(often, "_member").groupBy("members").agg(F.min_by("_member", F.struct("_n", "_member")).alias("_member"), F.min("_n").alias("_n")).where(F.col("_n") > 1)
     other = each.select(F.col("members").alias("_larger"), "_member")
-    within = (F.size("_larger") > F.size("members")) & (F.size(F.array_except("members", "_larger")) == 0)
+    within = (F.size("_larger") > F.size("members")) & is_subset(F.col("members"), F.col("_larger"))
     covered = rarest.select("members", "_member").join(other, "_member").where(within).select("members")
     return unique.select("members").join(covered, "members", "left_anti")
 

@@ -74,6 +74,11 @@ def candidate_order(p: Pattern, candidates: list[int]) -> list[int]:
     return order
 
 
+def before_and_at(backward: tuple[int, ...], previous: int) -> tuple[list[int], list[int]]:
+    """Backward neighbours matched before ``previous``, whose common neighbours serve all rows that differ in ``previous`` only, and ``previous`` itself if it is one."""
+    return [b for b in backward if b != previous], [b for b in backward if b == previous]
+
+
 def plan(p: Pattern, strategy: str = "hybrid", order: list[int] | None = None) -> MatchPlan:
     """``strategy``: hybrid keeps the extensions of a level as one list where the intersection behind it serves several rows, expand never does.
 
@@ -88,7 +93,7 @@ def plan(p: Pattern, strategy: str = "hybrid", order: list[int] | None = None) -
     for i, u in enumerate(order):
         before = order[:i]
         backward = tuple(w for w in before if p.adjacent(u, w))
-        shares = len(backward) > 2 or (len(backward) == 2 and order[i - 1] not in backward)
+        shares = i > 0 and len(before_and_at(backward, order[i - 1])[0]) > 1
         less = tuple(w for w in before if (u, w) in below)
         greater = tuple(w for w in before if (w, u) in below)
         other = tuple(w for w in before if w not in less and w not in greater and w not in backward)
@@ -96,11 +101,6 @@ def plan(p: Pattern, strategy: str = "hybrid", order: list[int] | None = None) -
     return MatchPlan(p, tuple(levels))
 
 
-def before_and_at(level: Level, previous: int) -> tuple[list[int], list[int]]:
-    """Backward neighbours matched before ``previous``, which one prefix shares, and ``previous`` itself if it is one."""
-    return [b for b in level.backward if b != previous], [b for b in level.backward if b == previous]
-
-
 def filter_order(p: Pattern, candidates: list[int]) -> list[int]:
     """Breadth-first from the vertex with fewest candidates for its degree (degree 1 can't start, unless there is no other)."""
     roots = [u for u in range(p.n) if p.degree(u) > 1] or [0]

@@ -66,7 +66,7 @@ def test_orders():
     order = filter_order(p, [9, 9, 1, 9, 9])
     assert order[0] == 2 and sorted(order) == list(range(5))
     assert tree(p, order)[2][0] is None and all(tree(p, order)[u][0] is not None for u in order[1:])
-    assert before_and_at(plan(preset(24)).levels[3], 2) == ([0, 1], [2])
+    assert before_and_at(plan(preset(24)).levels[3].backward, 2) == ([0, 1], [2])
     assert [x.store for x in plan(preset(24)).levels] == ["expand", "expand", "expand", "prefix"]
     assert {x.store for x in plan(preset(24), "expand").levels} == {"expand"}
 

@@ -76,3 +76,29 @@ def test_refuses_small_shares(large_orders):
 
 def test_thresholds_are_whole_numbers():
     assert [quasi.needed((9, 10), n) for n in (2, 11, 12)] == [1, 9, 10]
+
+
+@pytest.mark.parametrize("rule", sorted(quasi.RULES))
+@pytest.mark.parametrize(("share", "least_size"), [((1, 2), 4), ((3, 5), 5), ((4, 5), 4)])
+def test_rules_change_no_result_and_save_states(rule, share, least_size):
+    import random
+
+    rng, saved = random.Random(8), 0
+    for _ in range(4):
+        edges = [e for e in combinations(range(13), 2) if rng.random() < 0.5]
+        near = {v: set() for e in edges for v in e}
+        for a, b in edges:
+            near[a].add(b)
+            near[b].add(a)
+
+        def found(rules, near=near):
+            states = [0]
+            all_found = [set(s) for v in sorted(near) for s in quasi.mine({v}, {u for u in near if u > v}, near, share, least_size, rules, states)]
+            return {tuple(sorted(s)) for s in all_found if not any(s < t for t in all_found)}, states[0]
+
+        (plain, many), (with_rule, fewer) = found(frozenset()), found(frozenset({rule}))
+        everything, least = found(quasi.RULES)
+        assert plain == with_rule == everything
+        assert fewer <= many and least <= many
+        saved += many - fewer
+    assert saved > 0
