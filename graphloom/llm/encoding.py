@@ -179,3 +179,16 @@ def token_counts(documents: DataFrame, name: str = VOCABULARY, folder: str = TOK
 
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, tokens bigint")
+
+
+def decoded(documents: DataFrame, name: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
+    """``(doc_id, text)``: the text that the ids of each row of ``encoded`` stand for, to hold against the original."""
+    get = encoder_on_workers(documents.sparkSession, name, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = get().tokens
+        for batch in batches:
+            texts = [b"".join([tokens[i] for i in ids]).decode() for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return encoded(documents, name, folder).mapInArrow(run, "doc_id bigint, text string")

@@ -18,9 +18,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.tables import written
+
 #: The model is fitted on about so many labelled documents, as even over the languages as they allow, chosen by hash of the id. Documents longer than LONGEST_TRAINING characters are not fitted on; all are classified.
 TRAINING_DOCUMENTS = 8_000
 LONGEST_TRAINING = 20_000
@@ -472,3 +474,19 @@ def found_languages(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
     all_rows = languages(documents, lang_codes)
     wrong = F.col("label_lang").isNull() | (F.col("label_lang") != F.col("lang"))
     return all_rows.where(F.col("lang").isNotNull() & ((F.col("seg_no") > 0) | wrong)).select("doc_id", "seg_no", "lang")
+
+
+#: The part of the documents with a known label that must agree with it, in the report.
+AGREEING = 0.8
+
+
+def agreement(documents: DataFrame, lang_codes: DataFrame, agreeing: float = AGREEING) -> DataFrame:
+    """``(documents, labelled, agrees, ordered)``: rows with seg_no 0, those of them with a known label, whether the language found is theirs in the part ``agreeing`` of those that have a sentence, and whether the stretches of every document are numbered from 1 and differ from one to the next."""
+    rows = written(languages(documents, lang_codes))
+    whole, judged_too = F.col("seg_no") == 0, F.col("label_lang").isNotNull() & F.col("lang").isNotNull()
+    same = F.count(F.when(whole & judged_too & (F.col("label_lang") == F.col("lang")), 1))
+    totals = rows.agg(F.count(F.when(whole, 1)).alias("documents"), F.count(F.when(whole & F.col("label_lang").isNotNull(), 1)).alias("labelled"), (same >= agreeing * F.count(F.when(whole & judged_too, 1))).alias("agrees"))
+    ordered = Window.partitionBy("doc_id").orderBy("seg_no")
+    follows = (F.col("seg_no") == F.row_number().over(ordered)) & ~F.lag("lang").over(ordered).eqNullSafe(F.col("lang"))
+    runs = rows.where(F.col("seg_no") > 0).select(follows.alias("_follows")).agg(F.coalesce(F.min("_follows"), F.lit(True)).alias("ordered"))
+    return totals.crossJoin(runs)  # one row each

@@ -114,8 +114,7 @@ def pieces(counts: DataFrame, bins: DataFrame) -> DataFrame:
     other is one piece. Texts without tokens, and kinds with a null or
     non-positive capacity, have none.
     """
-    kinds = kinds_of(bins)
-    listed = [(r.bin_kind, r.capacity) for r in kinds.sort("bin_kind").limit(MOST_KINDS + 1).collect()]
+    listed = [(r.bin_kind, r.capacity) for r in kinds_of(bins).sort("bin_kind").limit(MOST_KINDS + 1).collect()]
     if len(listed) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of container")
     all_kinds = F.array(*(F.struct(F.lit(k).alias("bin_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in listed)) if listed else F.expr("cast(array() as array<struct<bin_kind:string,capacity:bigint>>)")
@@ -178,10 +177,31 @@ def packed_documents(documents: DataFrame, bins: DataFrame, name: str = VOCABULA
     return packed(written(token_counts(documents, name, folder)), bins)
 
 
-def fill_report(placed: DataFrame, bins: DataFrame) -> DataFrame:
-    """``(bin_kind, containers, pieces, tokens, least_containers)`` of the result of ``packed``.
+#: How many containers above the least number possible the report accepts.
+ACCEPTED = 1.02
+
 
-    ``least_containers``: no packing has fewer, as all tokens must fit.
+def fill_report(counts: DataFrame, placed: DataFrame, bins: DataFrame, accepted: float = ACCEPTED) -> DataFrame:
+    """``(bin_kind, containers, least_containers, placed_once, within, near_least)`` of the result of ``packed`` for ``counts(doc_id, tokens)``.
+
+    Whether every token is placed once, in pieces that follow one another; no
+    container is above the capacity; and there are at most ``accepted`` times as
+    many as the least possible, whatever the method (all tokens must fit), rounded
+    up, and one.
     """
-    per = placed.groupBy("bin_kind").agg(F.count_distinct("container").alias("containers"), F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
-    return per.join(kinds_of(bins), "bin_kind").select("bin_kind", "containers", "pieces", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).cast("bigint").alias("least_containers"))
+    wanted = counts.where(F.col("tokens") > 0).select("doc_id", F.col("tokens").alias("_all"))
+    kinds = kinds_of(bins)
+    per_text = placed.groupBy("bin_kind", "doc_id").agg(F.sum("tokens").alias("_placed"), F.max(F.col("first_token") + F.col("tokens")).alias("_end"), F.count_distinct("first_token").alias("_firsts"), F.count("*").alias("_pieces"))
+    every = wanted.crossJoin(F.broadcast(kinds))  # a text is placed once for each kind, and there are few kinds
+    right = (F.col("_placed") == F.col("_all")) & (F.col("_end") == F.col("_all")) & (F.col("_firsts") == F.col("_pieces"))
+    texts = every.join(per_text, ["bin_kind", "doc_id"], "left").groupBy("bin_kind").agg(F.min(F.coalesce(right, F.lit(False))).alias("placed_once"), F.sum("_all").alias("_tokens"))
+    loads = placed.groupBy("bin_kind", "container").agg(F.sum("tokens").alias("_load")).groupBy("bin_kind").agg(F.count("*").alias("containers"), F.max("_load").alias("_most"))
+    least = F.ceil(F.col("_tokens") / F.col("capacity")).cast("bigint")
+    found = texts.join(loads, "bin_kind").join(kinds, "bin_kind")
+    return found.select("bin_kind", "containers", least.alias("least_containers"), "placed_once", (F.col("_most") <= F.col("capacity")).alias("within"), (F.col("containers") <= F.ceil(least * accepted) + 1).alias("near_least"))
+
+
+def packed_report(documents: DataFrame, bins: DataFrame, name: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
+    """``fill_report`` for the texts of ``documents``."""
+    counts = written(token_counts(documents, name, folder))
+    return fill_report(counts, written(packed(counts, bins)), bins)

@@ -23,11 +23,12 @@ def queries() -> dict[str, Query]:
         "p4_overlap_tenth": lambda s, d: overlap.overlap_report(load(s, d, "csr_offsets"), load(s, d, "csr_cols"), share=(1, 10)),
         "p4_overlap_checked": lambda s, d: overlap.checked_overlaps(load(s, d, "csr_offsets"), load(s, d, "csr_cols")),
         "p6_ids": lambda s, d: encoding.encoded(load(s, d, "documents")),
-        "p6_counts": lambda s, d: encoding.token_counts(load(s, d, "documents")),
+        "p6_decoded": lambda s, d: encoding.decoded(load(s, d, "documents")),
         "p7_packed": lambda s, d: packing.packed_documents(load(s, d, "documents"), load(s, d, "bin_capacity")),
-        "p7_fill": lambda s, d: packing.fill_report(packing.packed_documents(load(s, d, "documents"), load(s, d, "bin_capacity")), load(s, d, "bin_capacity")),
+        "p7_fill": lambda s, d: packing.packed_report(load(s, d, "documents"), load(s, d, "bin_capacity")).drop("containers", "least_containers"),
         "p8_found": lambda s, d: language.found_languages(load(s, d, "documents"), load(s, d, "lang_codes")),
         "p8_languages": lambda s, d: language.languages(load(s, d, "documents"), load(s, d, "lang_codes")),
+        "p8_agreement": lambda s, d: language.agreement(load(s, d, "documents"), load(s, d, "lang_codes")),
     }
 
 
@@ -67,6 +68,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_collapsed": _P1 + "SELECT rec_id, copies FROM grouped WHERE rec_id = kept_id",
         "p2_found": _P2 + "SELECT label, mark FROM marked WHERE mark IS NOT NULL",
         "p2_frequency": _P2 + "SELECT label, occurrences, records, mark FROM marked",
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p7_fill": "SELECT bin_kind, true AS placed_once, true AS within, true AS near_least FROM bin_capacity",
+        "p8_agreement": "SELECT count(*) AS documents, count(*) FILTER (lower(trim(d.lang, E' \\t\\n\\r')) IN (SELECT code FROM lang_codes)) AS labelled, true AS agrees, true AS ordered FROM documents d",
         "p4_found": _P4 + "SELECT v_a, v_b FROM sized WHERE shared * 2 >= least(n_a, n_b)",
         "p4_overlap_checked": _P4 + "SELECT v_a, v_b, n_a, n_b, shared, true AS close FROM sized WHERE shared * 10 >= least(n_a, n_b)",
     }

@@ -104,3 +104,14 @@ def test_no_texts_or_no_bins(spark):
 def test_repeated_rows(spark):
     rows = place(spark, [(1, 7, 0)] * 3, bins=[("a", 10, 0)])
     assert sum(r.tokens for r in rows) == 21
+
+
+def test_report(spark):
+    counts = spark.createDataFrame([(1, 7), (2, 4), (3, 12), (4, None), (5, 0)], "doc_id long, tokens long")
+    bins = spark.createDataFrame([("a", 10, 0), ("a", 12, 0)], BINS)
+    placed = packing.packed(counts, bins)
+    assert [tuple(r) for r in packing.fill_report(counts, placed, bins).collect()] == [("a", 3, 3, True, True, True)]
+    for wrong, column in ((placed.where("doc_id <> 1"), "placed_once"), (placed.union(placed.where("doc_id = 2")), "placed_once"), (placed.withColumn("container", packing.F.lit("x")), "within")):
+        assert not packing.fill_report(counts, wrong, bins).first()[column]
+    apart = placed.withColumn("container", packing.F.concat("container", packing.F.col("doc_id").cast("string")))
+    assert packing.fill_report(counts, apart, bins).first().containers == 4
