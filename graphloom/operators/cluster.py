@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.runs import runs
 from graphloom.operators.graph import arcs, degrees
 from graphloom.tables import forget, written
 
@@ -178,45 +179,53 @@ def view_bins(edges: DataFrame, parts: DataFrame, capacity: int, hops: int = 2,
     opened, and when there are ``open_bins`` the largest is closed. Then the bins
     of all parts, smallest first, are joined one after the other while they fit. A
     vertex whose own view is larger than the capacity has a bin of its own. Parts
-    are packed side by side; one part is one ordered pass.
+    are packed side by side; one part is one ordered pass that holds its open bins
+    and one view.
     """
-    view = views(edges, hops)
-    lists = view.groupBy("source").agg(F.collect_list(F.struct("v", "deg")).alias("view"))
     own = degrees(edges).withColumnsRenamed({"v": "source", "deg": "own"})
-    rows = lists.join(own, "source").join(parts.select(F.col("v").alias("source"), "part"), "source")
+    rows = views(edges, hops).join(own, "source").join(parts.select(F.col("v").alias("source"), F.col("part").cast("bigint").alias("part")), "source")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bins, opened = None, [], []
-        held: list[tuple] = []
-
-        def finish() -> None:
-            for number, b in enumerate(bins):
-                held.extend((part, number, b[1], v) for v in b[2])
-
-        for batch in batches:
-            for p, source, view in zip(batch.column("part").to_pylist(), batch.column("source").to_pylist(), batch.column("view").to_pylist(), strict=True):
-                if p != part:
-                    finish()
-                    part, bins, opened = p, [], []
-                growth = [(sum(x["deg"] for x in view if x["v"] not in bins[i][0]), i) for i in opened]
-                fits = [(g, i) for g, i in growth if bins[i][1] + g <= capacity]
-                if fits:
-                    grown, at = min(fits, key=lambda x: x[0])
-                else:
-                    if len(opened) >= open_bins:
-                        opened.remove(max(opened, key=lambda i: bins[i][1]))
-                    bins.append([set(), 0, []])
-                    at, grown = len(bins) - 1, sum(x["deg"] for x in view)
-                    opened.append(at)
-                bins[at][0].update(x["v"] for x in view)
-                bins[at][1] += grown
-                bins[at][2].append(source)
-        finish()
-        columns = list(zip(*held, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "number", "size", "v"])
+        part, number, opened = None, 0, {}  # open bins by number: what they read, how much that is, their vertices
+        out: list[tuple] = []
+
+        def close(at: int) -> None:
+            _, size, sources = opened.pop(at)
+            out.extend((part, at, size, v) for v in sources)
+
+        def taken() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "number", "size", "v"])
+
+        for (source, *_), (new_part, *_), vs, degs in runs(batches):
+            if new_part != part:
+                for at in list(opened):
+                    close(at)
+                part, number = new_part, 0
+            view = dict(zip(vs, degs, strict=True))
+            growth = [(sum(d for v, d in view.items() if v not in held), at) for at, (held, _, _) in opened.items()]
+            fits = [(g, at) for g, at in growth if opened[at][1] + g <= capacity]
+            if fits:
+                grown, at = min(fits)
+            else:
+                if len(opened) >= open_bins:
+                    close(max(opened, key=lambda i: (opened[i][1], -i)))
+                grown, at, number = sum(view.values()), number, number + 1
+                opened[at] = (set(), 0, [])
+            held, size, sources = opened[at]
+            held.update(view)
+            sources.append(source)
+            opened[at] = (held, size + grown, sources)
+            if len(out) >= 10_000:
+                yield taken()
+        for at in list(opened):
+            close(at)
+        yield taken()
 
     order: list[str | Column] = ["part", F.desc("own"), "source"] if by_degree else ["part", "source"]
-    packed = written(rows.withColumn("part", F.col("part").cast("bigint")).repartition("part").sortWithinPartitions(*order).mapInArrow(pack, "part bigint, number bigint, size bigint, v bigint"))
+    ordered = rows.repartition("part").sortWithinPartitions(*order).select("source", "part", "v", "deg")
+    packed = written(ordered.mapInArrow(pack, "part bigint, number bigint, size bigint, v bigint"))
     sizes = packed.select("part", "number", "size").distinct()
 
     def join_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,6 +243,15 @@ def view_bins(edges: DataFrame, parts: DataFrame, capacity: int, hops: int = 2,
     return packed.join(joined, ["part", "number"]).select("v", "bin")
 
 
+def view_bins_report(edges: DataFrame, bins: DataFrame, capacity: int, hops: int = 2) -> DataFrame:
+    """``(v, bins, fits)``: in how many bins a vertex is, and whether what its bin reads together is within the capacity, or it is alone."""
+    read = views(edges, hops).join(bins.withColumnRenamed("v", "source"), "source")
+    loads = read.select("bin", "v", "deg").distinct().groupBy("bin").agg(F.sum("deg").alias("_load"))
+    alone = bins.groupBy("bin").agg(F.count("*").alias("_n"))
+    fits = (F.col("_load") <= capacity) | (F.col("_n") == 1)
+    return bins.join(loads, "bin").join(alone, "bin").groupBy("v").agg(F.count("*").alias("bins"), F.min(fits).alias("fits"))
+
+
 def bin_loads(edges: DataFrame, bins: DataFrame) -> DataFrame:
     """``(bin, vertices, load)``: the load of a bin is the degrees of its vertices, largest first."""
     return bins.join(degrees(edges), "v").groupBy("bin").agg(F.count("*").alias("vertices"), F.sum("deg").alias("load")).orderBy(F.desc("load"), "bin")

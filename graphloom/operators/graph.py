@@ -105,6 +105,13 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return far.union(x.select("src", "dst")).distinct()
 
 
+def two_step_walks(edges: DataFrame) -> DataFrame:
+    """``(v, walks)``: the walks of two steps from ``v`` to another vertex, from the degrees of its neighbours; no pair is made."""
+    deg = degrees(edges)
+    ahead = arcs(edges).join(deg.withColumnRenamed("v", "dst"), "dst")
+    return ahead.groupBy(F.col("src").alias("v")).agg(F.sum(F.col("deg") - 1).alias("walks"))
+
+
 def k_hop(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
     """``(source, v)``: what can be reached from each vertex ``v`` of ``sources`` in at most ``hops`` steps, itself included."""
     reached = sources.select(F.col("v").alias("source"), "v").distinct()
