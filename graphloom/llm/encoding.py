@@ -51,22 +51,45 @@ class Encoder:
         self.kept: dict[str, bytes] = {}  # ids as int32
         self.kept_words = kept_words
         self.adjacent: dict[tuple[int, int], bool] = {}
+        self.splits: dict[int, tuple[int, int]] = {}
 
-    def _merge(self, data: bytes) -> list[int]:
-        """Plain merging, for the few bytes of two tokens."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ids.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+    def _split(self, token: int) -> tuple[int, int]:
+        """The two tokens that merge into this one; itself twice if none do."""
+        known = self.splits.get(token)
+        if known is None:
+            data, ids, known = self.tokens[token], self.ids, (token, token)
+            for at in range(1, len(data)):
+                left, right = ids.get(data[:at], token), ids.get(data[at:], token)
+                if left < token and right < token and self._stay(left, right, token):
+                    known = (left, right)
+                    break
+            self.splits[token] = known
+        return known
+
+    def _stay(self, left: int, right: int, below: int) -> bool:
+        """Whether no merge into a token before ``below`` happens across the border of the two tokens.
+
+        Their merges are undone from the last one on. The halves that then meet at
+        the border must not merge before the merge that was undone came.
+        """
+        ids, tokens = self.ids, self.tokens
+        while True:
+            if ids.get(tokens[left] + tokens[right], below) < below:
+                return False
+            undone_left, undone_right = self._split(left)[1], self._split(right)[0]
+            # of two merges of one rank the left one comes first
+            if undone_left != left and (left > right or undone_right == right):
+                below, left = left, undone_left
+            elif undone_right != right:
+                below, right = right + 1, undone_right
+            else:
+                return True
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are where they meet: then, and only then, an encoding can hold them side by side."""
         known = self.adjacent.get((left, right))
         if known is None:
-            known = self.adjacent[left, right] = self._merge(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = self.adjacent[left, right] = self._stay(left, right, 1 << 60)
         return known
 
     def _last_token(self, word: bytes, end: int, last: list[int]) -> int:

@@ -37,6 +37,34 @@ def test_random_texts(encoder, reference):
     assert list(encoder.encode_many(texts)) == reference(texts)
 
 
+def merged(encoder, data):
+    """Plain merging of the bytes, pair of lowest rank first."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        rank, at = min((encoder.ids.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [encoder.ids[p] for p in parts]
+
+
+def test_tokens_side_by_side(encoder):
+    rng, tokens = random.Random(2), sorted(encoder.tokens)
+    short = [t for t in tokens if len(encoder.tokens[t]) <= 2]
+    pairs = [(rng.choice(tokens), rng.choice(tokens)) for _ in range(4000)] + [(rng.choice(short), rng.choice(short)) for _ in range(4000)]
+    for t in rng.sample(tokens, 2000):  # the parts of one token, most of which don't stay apart
+        data = encoder.tokens[t]
+        pairs += [(encoder.ids[data[:i]], encoder.ids[data[i:]]) for i in range(1, len(data)) if data[:i] in encoder.ids and data[i:] in encoder.ids]
+    for a, b in pairs:
+        assert encoder.may_follow(a, b) == (merged(encoder, encoder.tokens[a] + encoder.tokens[b]) == [a, b]), (a, b)
+
+
+def test_texts_of_random_tokens(encoder, reference):
+    rng, tokens = random.Random(3), sorted(encoder.tokens)
+    texts = [b"".join(encoder.tokens[rng.choice(tokens)] for _ in range(rng.randrange(1, 30))).decode(errors="ignore") for _ in range(1500)]
+    assert list(encoder.encode_many(texts)) == reference(texts)
+
+
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(max_size=80))
 def test_any_text(text):
