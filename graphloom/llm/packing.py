@@ -125,12 +125,12 @@ def pieces(counts: DataFrame, bins: DataFrame) -> DataFrame:
     return cut.select("bin_kind", "capacity", "doc_id", first, F.least("capacity", F.col("_all") - first).alias("tokens"))
 
 
-def _packer(group: int):  # noqa: ANN202
+def _packer(group: int, unused: float = UNUSED):  # noqa: ANN202
     """Packs the rows of each kind and group, the partition being sorted by both; of more than ``group`` every so-manyth row goes together."""
 
     def packed(held: list[tuple]) -> pa.RecordBatch:
         kind, _, capacity = held[0][:3]
-        containers = fill([r[5] for r in held], capacity)
+        containers = fill([r[5] for r in held], capacity, unused)
         names = [min((held[i][3], held[i][4]) for i in c) for c in containers]
         rows = [(kind, f"{kind}-{name[0]}-{name[1]}", *held[i][3:]) for c, name in zip(containers, names, strict=True) for i in c]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["bin_kind", "container", "doc_id", "first_token", "tokens"])
@@ -146,7 +146,7 @@ def _packer(group: int):  # noqa: ANN202
     return run
 
 
-def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
+def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP, unused: float = UNUSED) -> DataFrame:
     """``(bin_kind, container, doc_id, first_token, tokens)``: every piece of every text in one container of each kind.
 
     ``counts`` has ``(doc_id, tokens)``. Pieces that fill a container are alone in
@@ -154,7 +154,7 @@ def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
     groups of about ``group``, and one that has more is split evenly over all
     sizes. They are packed one by one, so a task holds only the rows of one hash
     at once, and the result doesn't depend on the number of tasks. A
-    container is named by its kind and its first piece. Repeated rows of
+    container is named by its kind and its first piece. ``unused``: see ``fill``. Repeated rows of
     ``counts`` are placed as often as they come; they may share a name, though a
     repeated doc_id is against the data's definition. Null counts count as none.
     """
@@ -168,7 +168,7 @@ def packed(counts: DataFrame, bins: DataFrame, group: int = GROUP) -> DataFrame:
     # the groups of a kind go round the tasks one by one, so that each has as many as any other
     task = F.pmod(F.col("_group") + F.pmod(F.xxhash64("bin_kind"), F.lit(tasks)), F.lit(tasks)).cast("int")
     ordered = grouped.repartitionById(tasks, task).sortWithinPartitions("bin_kind", "_group", "tokens", "doc_id", "first_token")
-    shared = ordered.mapInArrow(_packer(group), "bin_kind string, container string, doc_id bigint, first_token bigint, tokens bigint")
+    shared = ordered.mapInArrow(_packer(group, unused), "bin_kind string, container string, doc_id bigint, first_token bigint, tokens bigint")
     return alone.unionByName(shared)
 
 
