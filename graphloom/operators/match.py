@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.graph import adjacency, arcs, degree_order, degree_recoded, degrees, existing_edges
 from graphloom.plans.matchplan import PREFIX, Level, MatchPlan, candidate_order, filter_order, one_sided, plan, side_needed, tree
 from graphloom.plans.pattern import Pattern
-from graphloom.tables import written
+from graphloom.tables import forget, written
 
 
 def _tests(level: Level, x: Column) -> list[Column]:
@@ -192,7 +192,8 @@ def dpiso_candidates(edges: DataFrame, p: Pattern) -> dict[int, DataFrame]:
             for w in around[u][side]:
                 near = step.join(of[w].select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"))
                 kept = kept.join(near, "v", "left_semi")
-            of[u] = written(kept)
+            of[u], before = written(kept), of[u]
+            forget(before)
     return of
 
 
