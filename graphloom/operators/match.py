@@ -37,13 +37,23 @@ def _columns(p: Pattern) -> list[str]:
 
 
 def expand_rows(edges: DataFrame, p: Pattern, order: list[int] | None = None) -> DataFrame:
-    """Matches ``(q0, q1, ...)`` by one join per pattern edge."""
+    """Matches ``(q0, q1, ...)`` by one join per pattern edge.
+
+    Of several matched neighbours the one with fewest neighbours itself, row by
+    row, gives what the next vertex can be, and the edges to all are then looked
+    up: rows that meet a hub don't run through its neighbours.
+    """
+    deg = degrees(edges)
     step, levels = arcs(edges), plan(p, order=order).levels
-    rows = step.select(F.col("src").alias(f"q{levels[0].vertex}")).distinct()
+    with_degree = step.join(deg.select(F.col("v").alias("dst"), "deg"), "dst")
+    rows = deg.select(F.col("v").alias(f"q{levels[0].vertex}"), F.col("deg").alias(f"d{levels[0].vertex}"))
     for level in levels[1:]:
-        u, last = level.vertex, level.backward[-1]
-        rows = rows.join(step.select(F.col("src").alias(f"q{last}"), F.col("dst").alias(f"q{u}")), f"q{last}").where(_all(_tests(level, F.col(f"q{u}"))))
-        for b in level.backward[:-1]:
+        u = level.vertex
+        ends = [F.struct(F.col(f"d{b}").alias("d"), F.col(f"q{b}").alias("q")) for b in level.backward]
+        start = F.least(*ends) if len(ends) > 1 else ends[0]
+        ahead = with_degree.select(F.col("src").alias("_from"), F.col("dst").alias(f"q{u}"), F.col("deg").alias(f"d{u}"))
+        rows = rows.withColumn("_from", start["q"]).join(ahead, "_from").where(_all(_tests(level, F.col(f"q{u}")))).drop("_from")
+        for b in level.backward if len(ends) > 1 else ():
             rows = rows.join(step.select(F.col("src").alias(f"q{b}"), F.col("dst").alias(f"q{u}")), [f"q{b}", f"q{u}"], "left_semi")
     return rows.select(*_columns(p))
 
