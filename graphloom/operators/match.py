@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import adjacency, arcs, degree_order, degree_recoded, degrees, existing_edges
 from graphloom.plans.matchplan import PREFIX, Level, MatchPlan, candidate_order, filter_order, one_sided, plan, side_needed, tree
-from graphloom.plans.pattern import Pattern
+from graphloom.plans.pattern import Pattern, preset
 from graphloom.tables import forget, written
 
 
@@ -157,7 +157,10 @@ def match_count(edges: DataFrame, p: Pattern, mean_list: float = MEAN_LIST) -> D
     Lists are taken if the pattern only needs the neighbours on one side of each
     vertex, which are few then, or if the whole lists are short: an arc's end has
     sum(deg^2) / sum(deg) neighbours on average. Otherwise no list leaves its vertex.
+    Squares are counted without being made.
     """
+    if p.edges == preset(1).edges:
+        return square_count(edges)
     own = written(edges)
     most, mean, squares = degrees(own).agg(F.max("deg"), F.avg("deg"), F.sum(F.col("deg") * F.col("deg")) / F.sum("deg")).first()
     if most and most > UNEVEN * mean:
@@ -165,6 +168,20 @@ def match_count(edges: DataFrame, p: Pattern, mean_list: float = MEAN_LIST) -> D
     return prefix_count(own, p) if one_sided(plan(p)) or (squares or 0) <= mean_list else expand_count(own, p)
 
 
+def square_count(edges: DataFrame) -> DataFrame:
+    """``(n)``: the number of squares, each counted at its last vertex in the order of degrees and the one opposite.
+
+    The two share so many neighbours that come before the last; any two of them
+    close a square. Each edge makes as many rows as its end of smaller degree has
+    neighbours at most, so a hub's pairs of neighbours are never made.
+    """
+    up = written(degree_recoded(edges))
+    middle = arcs(up).select(F.col("src").alias("v"), F.col("dst").alias("far"))
+    paths = middle.join(up.select(F.col("src").alias("v"), F.col("dst").alias("last")), "v").where(F.col("far") < F.col("last"))
+    shared = paths.groupBy("far", "last").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    return shared.agg(F.coalesce(F.sum(F.shiftright(F.col("c") * (F.col("c") - 1), 1)), F.lit(0).cast("bigint")).alias("n"))
+
+
 def expand_count(edges: DataFrame, p: Pattern) -> DataFrame:
     return expand_rows(edges, p).agg(F.count("*").alias("n"))
 

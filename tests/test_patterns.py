@@ -147,3 +147,12 @@ def test_no_edges(spark):
 
 def test_triangles(large_orders):
     assert {tuple(r) for r in match.triangles(large_orders).collect()} == {tuple(r) for r in match.prefix_rows(large_orders, preset(0)).collect()}
+
+
+def test_squares_of_hubs_that_share_all_neighbours(spark, large_orders):
+    n = 100_000
+    hubs = spark.range(n).selectExpr("explode(array(200000L, 200001L)) as dst", "id as src").select("src", "dst")
+    assert match.match_count(hubs, preset(1)).first()[0] == n * (n - 1) // 2
+    assert match.match_count(large_orders, preset(1)).first()[0] == COUNTS[1]
+    assert match.match_count(frame(spark, []), preset(1)).first()[0] == 0
+    assert match.match_count(frame(spark, combinations(range(6), 2)), preset(1)).first()[0] == brute_force(preset(1), set(combinations(range(6), 2)))
