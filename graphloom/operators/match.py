@@ -149,6 +149,17 @@ UNEVEN = 16
 MEAN_LIST = 256
 
 
+def _leveled(edges: DataFrame) -> tuple[DataFrame, float, bool]:
+    """The edges written, and numbered by degree if the graph is uneven; how many neighbours an arc's end has on average; whether they were numbered."""
+    own = written(edges)
+    most, mean, squares = degrees(own).agg(F.max("deg"), F.avg("deg"), F.sum(F.col("deg") * F.col("deg")) / F.sum("deg")).first()
+    uneven = bool(most and most > UNEVEN * mean)
+    if uneven:
+        before, own = own, written(degree_recoded(own))
+        forget(before)
+    return own, squares or 0, uneven
+
+
 def match_count(edges: DataFrame, p: Pattern, mean_list: float = MEAN_LIST) -> DataFrame:
     """``(n)``: the number of matches, by lists of extensions or edge by edge.
 
@@ -161,11 +172,8 @@ def match_count(edges: DataFrame, p: Pattern, mean_list: float = MEAN_LIST) -> D
     """
     if p.edges == preset(1).edges:
         return square_count(edges)
-    own = written(edges)
-    most, mean, squares = degrees(own).agg(F.max("deg"), F.avg("deg"), F.sum(F.col("deg") * F.col("deg")) / F.sum("deg")).first()
-    if most and most > UNEVEN * mean:
-        own = written(degree_recoded(own))
-    return prefix_count(own, p) if one_sided(plan(p)) or (squares or 0) <= mean_list else expand_count(own, p)
+    own, squares, _ = _leveled(edges)
+    return prefix_count(own, p) if one_sided(plan(p)) or squares <= mean_list else expand_count(own, p)
 
 
 def square_count(edges: DataFrame) -> DataFrame:
@@ -199,6 +207,60 @@ def ldf_candidates(edges: DataFrame, p: Pattern, labels: DataFrame | None = None
     return rows.select(F.col("a.u").alias("u"), "v")
 
 
+def _bit(u: int) -> int:
+    return 1 << u
+
+
+def _marked(edges: DataFrame, p: Pattern, by_degree: bool = False) -> tuple[DataFrame, dict[int, int]]:
+    """``(v, mask)``, a written table: bit u of the mask is set if v is a candidate of pattern vertex u after three passes of refinement; and how many candidates each u has.
+
+    All candidates are held in one table, with a neighbour of each vertex that has
+    most neighbours itself: if that one is a candidate of all that a step looks for,
+    the step is over for the vertex. Only the arcs of the others are looked
+    through. A step is left out as far as nothing that it looked at has changed since.
+    ``by_degree``: the vertices are numbered by degree, so a vertex's last neighbour is that one.
+    """
+    if p.n > 63:
+        raise ValueError(f"a pattern of {p.n} vertices; 63 is the most")
+    step = arcs(edges)
+    ahead = step if by_degree else step.join(degrees(edges).select(F.col("v").alias("dst"), F.col("deg").alias("_deg")), "dst")
+    top = F.max("dst") if by_degree else F.max(F.struct("_deg", "dst"))["dst"]
+    first = ahead.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg"), top.alias("top"))
+    bits = [F.when(F.col("deg") >= p.degree(u), F.lit(_bit(u)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for u in range(p.n)]
+    state = written(first.select("v", reduce(Column.bitwiseOR, bits).alias("mask"), "top").where(F.col("mask") != 0))
+
+    def sizes() -> dict[int, int]:
+        found = state.agg(*(F.count_if(F.col("mask").bitwiseAND(_bit(u)) != 0).alias(f"n{u}") for u in range(p.n))).first()
+        return {u: found[u] for u in range(p.n)}
+
+    now = sizes()
+    order = filter_order(p, [now[u] for u in range(p.n)])
+    around, changed, seen_at = tree(p, order), dict.fromkeys(range(p.n), 0), {}
+    steps = [(u, around[u][side]) for sequence, side in ((order, 1), (order[::-1], 2), (order, 1)) for u in sequence]
+    for at, (u, near) in enumerate(steps, 1):
+        want = sum(_bit(w) for w in near if seen_at.get((u, w), -1) < changed[w])
+        seen_at |= {(u, w): at for w in near}
+        if not want or not now[u]:
+            continue
+        has_all = F.col("_seen").bitwiseAND(want) == want
+        own = state.where(F.col("mask").bitwiseAND(_bit(u)) != 0)
+        clear = own.join(state.select(F.col("v").alias("top"), F.col("mask").alias("_seen")).where(has_all), "top", "left_anti").select("v")
+        unsure = written(clear)
+        lost = None
+        if not unsure.isEmpty():
+            met = step.join(unsure.withColumnRenamed("v", "src"), "src", "left_semi").join(state.select(F.col("v").alias("dst"), "mask"), "dst")
+            found = met.groupBy(F.col("src").alias("v")).agg(F.bit_or("mask").alias("_seen")).where(has_all)
+            lost = written(unsure.join(found, "v", "left_anti"))
+        if lost is not None and not lost.isEmpty():
+            kept = state.join(lost.withColumn("_lost", F.lit(_bit(u)).cast("bigint")), "v", "left")
+            mask = F.col("mask").bitwiseXOR(F.coalesce("_lost", F.lit(0).cast("bigint")))
+            before, state = state, written(kept.select("v", mask.alias("mask"), "top").where(F.col("mask") != 0))
+            forget(before)
+            now, changed[u] = sizes(), at
+        forget(unsure, lost)
+    return state, now
+
+
 def dpiso_candidates(edges: DataFrame, p: Pattern) -> dict[int, DataFrame]:
     """Of each pattern vertex its candidates ``(v)``, after three passes of refinement.
 
@@ -206,22 +268,8 @@ def dpiso_candidates(edges: DataFrame, p: Pattern) -> dict[int, DataFrame]:
     neighbour that the pass looks at: those earlier in breadth-first order in the
     first and third pass, the later ones in the second.
     """
-    first = written(ldf_candidates(edges, p))
-    counts = {r.u: r["count"] for r in first.groupBy("u").count().collect()}
-    order = filter_order(p, [counts.get(u, 0) for u in range(p.n)])
-    of = {u: first.where(F.col("u") == u).select("v") for u in range(p.n)}
-    step, around = arcs(edges), tree(p, order)
-    for sequence, side in ((order, 1), (order[::-1], 2), (order, 1)):
-        for u in sequence:
-            if not around[u][side]:
-                continue
-            kept = of[u]
-            for w in around[u][side]:
-                near = step.join(of[w].select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"))
-                kept = kept.join(near, "v", "left_semi")
-            of[u], before = written(kept), of[u]
-            forget(before)
-    return of
+    state, _ = _marked(edges, p)
+    return {u: state.where(F.col("mask").bitwiseAND(_bit(u)) != 0).select("v") for u in range(p.n)}
 
 
 def candidate_sizes(of: dict[int, DataFrame]) -> DataFrame:
@@ -239,34 +287,45 @@ def candidate_edges(edges: DataFrame, p: Pattern, of: dict[int, DataFrame]) -> D
     return reduce(DataFrame.union, parts)
 
 
-def candidate_rows(edges: DataFrame, p: Pattern) -> DataFrame:
+def candidate_rows(edges: DataFrame, p: Pattern, by_degree: bool = False) -> DataFrame:
     """Matches ``(q0, q1, ...)`` along the arcs between candidates, from the vertex with fewest candidates on.
 
-    The arcs of each pattern edge are made once, stored by edge; each level joins
-    the arcs of one of its edges and keeps the rows that the arcs of the others
-    have too, so no level sees a vertex that is not a candidate.
+    The arcs between candidates are stored once, with what their ends are candidates
+    of; each level joins the arcs of one of its edges and keeps the rows that the
+    arcs of the others have too, so no level sees a vertex that is not a candidate.
+    Where an order condition holds between the ends, only arcs that keep it are joined,
+    and if one holds for every pattern edge in the order of the levels, no others are stored.
     """
-    of = dpiso_candidates(edges, p)
-    sizes = {r.u: r.candidates for r in candidate_sizes(of).collect()}
-    between = written(candidate_edges(edges, p, of), "u", "u2")
+    state, sizes = _marked(edges, p, by_degree)
     levels = plan(p, order=candidate_order(p, [sizes[u] for u in range(p.n)])).levels
+    ends = [state.select(F.col("v").alias(end), F.col("mask").alias(f"_{end}")) for end in ("src", "dst")]
+    upward = all(set(x.backward) <= set(x.greater) for x in levels)
+    between = written((edges if upward else arcs(edges)).join(ends[0], "src").join(ends[1], "dst"))
+
+    def arcs_to(level: Level, b: int) -> DataFrame:
+        own = between.where((F.col("_src").bitwiseAND(_bit(b)) != 0) & (F.col("_dst").bitwiseAND(_bit(level.vertex)) != 0))
+        if b in level.greater:
+            own = own.where(F.col("dst") > F.col("src"))
+        elif b in level.less:
+            own = own.where(F.col("dst") < F.col("src"))
+        return own.select(F.col("src").alias(f"q{b}"), F.col("dst").alias(f"q{level.vertex}"))
 
-    def arcs_of(a: int, b: int) -> DataFrame:
-        u, w = min(a, b), max(a, b)
-        own = between.where((F.col("u") == u) & (F.col("u2") == w))
-        return own.select(F.col("v").alias(f"q{u}"), F.col("v2").alias(f"q{w}"))
-
-    rows = of[levels[0].vertex].select(F.col("v").alias(f"q{levels[0].vertex}"))
+    u = levels[0].vertex
+    rows = state.where(F.col("mask").bitwiseAND(_bit(u)) != 0).select(F.col("v").alias(f"q{u}"))
     for level in levels[1:]:
-        u, last = level.vertex, level.backward[-1]
-        rows = rows.join(arcs_of(last, u), f"q{last}").where(_all(_tests(level, F.col(f"q{u}"))))
-        for b in level.backward[:-1]:
-            rows = rows.join(arcs_of(b, u), [f"q{b}", f"q{u}"], "left_semi")
+        u = level.vertex
+        last = next((b for b in level.backward[::-1] if b in level.greater), level.backward[-1])
+        rows = rows.join(arcs_to(level, last), f"q{last}").where(_all(_tests(level, F.col(f"q{u}"))))
+        for b in level.backward:
+            if b != last:
+                rows = rows.join(arcs_to(level, b), [f"q{b}", f"q{u}"], "left_semi")
     return rows.select(*_columns(p))
 
 
 def candidate_count(edges: DataFrame, p: Pattern) -> DataFrame:
-    return candidate_rows(edges, p).agg(F.count("*").alias("n"))
+    """``(n)``; the vertices of an uneven graph are numbered by degree first, as in ``match_count``."""
+    own, _, by_degree = _leveled(edges)
+    return candidate_rows(own, p, by_degree).agg(F.count("*").alias("n"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import match
-from graphloom.operators.graph import copurchase
+from graphloom.operators.graph import copurchase, edges_norm
 from graphloom.plans.matchplan import before_and_at, candidate_order, choose_root, filter_order, one_sided, plan, radius, search_order, side_needed, tree
 from graphloom.plans.pattern import PRESETS, Pattern, as_text, brute_force, preset, preset_numbers, remapped, sampled_patterns
 from graphloom.tables import written
@@ -156,3 +156,13 @@ def test_squares_of_hubs_that_share_all_neighbours(spark, large_orders):
     assert match.match_count(large_orders, preset(1)).first()[0] == COUNTS[1]
     assert match.match_count(frame(spark, []), preset(1)).first()[0] == 0
     assert match.match_count(frame(spark, combinations(range(6), 2)), preset(1)).first()[0] == brute_force(preset(1), set(combinations(range(6), 2)))
+
+
+def test_candidates_around_a_hub_in_the_middle_of_the_ids(spark):
+    n = 100_000  # two hubs, each of whose neighbours below and above would be paired
+    rim = spark.range(n).selectExpr("2 * id as src", f"2 * ((id + 1) % {n}) as dst")
+    spokes = spark.range(n).selectExpr("2 * id as src", f"explode(array({n + 1}L, {n + 3}L)) as dst")
+    edges = written(edges_norm(rim.union(spokes)))
+    assert match.candidate_count(edges, preset(24)).first()[0] == 0
+    closed = written(edges.union(frame(spark, [(n + 1, n + 3)])))
+    assert match.candidate_count(closed, preset(24)).first()[0] == n == match.match_count(closed, preset(24)).first()[0]
