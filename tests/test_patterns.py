@@ -166,3 +166,36 @@ def test_candidates_around_a_hub_in_the_middle_of_the_ids(spark):
     assert match.candidate_count(edges, preset(24)).first()[0] == 0
     closed = written(edges.union(frame(spark, [(n + 1, n + 3)])))
     assert match.candidate_count(closed, preset(24)).first()[0] == n == match.match_count(closed, preset(24)).first()[0]
+
+
+@pytest.mark.parametrize("q", [5, 8, 14])
+def test_candidates_step_by_step(spark, large_orders, q):
+    p = preset(q)
+    path = [(10_000 + i, 10_001 + i) for i in range(6)] + list(combinations(range(20_000, 20_005), 2)) + [(20_000, 20_010)]
+    edges = {tuple(r) for r in large_orders.collect()} | set(path)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {u: {v for v in near if len(near[v]) >= p.degree(u)} for u in range(p.n)}
+    order = filter_order(p, [len(want[u]) for u in range(p.n)])
+    around = tree(p, order)
+    for sequence, side in ((order, 1), (order[::-1], 2), (order, 1)):
+        for u in sequence:
+            want[u] = {v for v in want[u] if all(near[v] & want[w] for w in around[u][side])}
+    of = match.dpiso_candidates(written(frame(spark, edges)), p)
+    assert {u: {r.v for r in of[u].collect()} for u in of} == want
+
+
+def test_candidates_join_arcs_only_for_vertices_in_doubt(spark, monkeypatch):
+    joins = []
+
+    def counted(df, *partition_by):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return written(df, *partition_by)
+
+    edges = written(frame(spark, list(combinations(range(12), 2))))
+    monkeypatch.setattr(match, "written", counted)
+    sizes = match.candidate_sizes(match.dpiso_candidates(edges, preset(14)))
+    assert {r.u: r.candidates for r in sizes.collect()} == dict.fromkeys(range(7), 12)
+    assert sum(joins) <= 1 + 2 * 7  # one for the degrees, one for each step of two passes; nothing changed before the third
