@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import cycles
 from graphloom.operators.graph import adjacency, arcs, degree_order, degree_recoded, degrees, existing_edges
 from graphloom.plans.matchplan import PREFIX, Level, MatchPlan, candidate_order, filter_order, one_sided, plan, side_needed, tree
 from graphloom.plans.pattern import Pattern, preset
@@ -149,15 +150,15 @@ UNEVEN = 16
 MEAN_LIST = 256
 
 
-def _leveled(edges: DataFrame) -> tuple[DataFrame, float, bool]:
-    """The edges written, and numbered by degree if the graph is uneven; how many neighbours an arc's end has on average; whether they were numbered."""
+def _leveled(edges: DataFrame) -> tuple[DataFrame, float, bool, int]:
+    """The edges written, and numbered by degree if the graph is uneven; how many neighbours an arc's end has on average; whether they were numbered; how many edges."""
     own = written(edges)
-    most, mean, squares = degrees(own).agg(F.max("deg"), F.avg("deg"), F.sum(F.col("deg") * F.col("deg")) / F.sum("deg")).first()
+    most, mean, squares, ends = degrees(own).agg(F.max("deg"), F.avg("deg"), F.sum(F.col("deg") * F.col("deg")) / F.sum("deg"), F.sum("deg")).first()
     uneven = bool(most and most > UNEVEN * mean)
     if uneven:
         before, own = own, written(degree_recoded(own))
         forget(before)
-    return own, squares or 0, uneven
+    return own, squares or 0, uneven, (ends or 0) // 2
 
 
 def match_count(edges: DataFrame, p: Pattern, mean_list: float = MEAN_LIST) -> DataFrame:
@@ -168,11 +169,14 @@ def match_count(edges: DataFrame, p: Pattern, mean_list: float = MEAN_LIST) -> D
     Lists are taken if the pattern only needs the neighbours on one side of each
     vertex, which are few then, or if the whole lists are short: an arc's end has
     sum(deg^2) / sum(deg) neighbours on average. Otherwise no list leaves its vertex.
-    Squares are counted without being made.
+    Squares are counted without being made, and so are cycles of six if the graph
+    is not uneven and a task may hold its edges.
     """
     if p.edges == preset(1).edges:
         return square_count(edges)
-    own, squares, _ = _leveled(edges)
+    own, squares, uneven, number = _leveled(edges)
+    if p.edges == preset(17).edges and not uneven and number <= cycles.MOST_EDGES:
+        return cycles.hexagon_count(own)
     return prefix_count(own, p) if one_sided(plan(p)) or squares <= mean_list else expand_count(own, p)
 
 
@@ -324,7 +328,7 @@ def candidate_rows(edges: DataFrame, p: Pattern, by_degree: bool = False) -> Dat
 
 def candidate_count(edges: DataFrame, p: Pattern) -> DataFrame:
     """``(n)``; the vertices of an uneven graph are numbered by degree first, as in ``match_count``."""
-    own, _, by_degree = _leveled(edges)
+    own, _, by_degree, _ = _leveled(edges)
     return candidate_rows(own, p, by_degree).agg(F.count("*").alias("n"))
 
 

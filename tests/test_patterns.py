@@ -4,7 +4,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import match
+from graphloom.operators import cycles, match
 from graphloom.operators.graph import copurchase, edges_norm
 from graphloom.plans.matchplan import before_and_at, candidate_order, choose_root, filter_order, one_sided, plan, radius, search_order, side_needed, tree
 from graphloom.plans.pattern import PRESETS, Pattern, as_text, brute_force, preset, preset_numbers, remapped, sampled_patterns
@@ -199,3 +199,30 @@ def test_candidates_join_arcs_only_for_vertices_in_doubt(spark, monkeypatch):
     sizes = match.candidate_sizes(match.dpiso_candidates(edges, preset(14)))
     assert {r.u: r.candidates for r in sizes.collect()} == dict.fromkeys(range(7), 12)
     assert sum(joins) <= 1 + 2 * 7  # one for the degrees, one for each step of two passes; nothing changed before the third
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hexagons_are_counted_without_rows(spark, large_orders, monkeypatch, seed):
+    def no_rows(*_):
+        raise AssertionError("walks are made into rows")
+
+    p = preset(17)
+    many = [(a, b) for a in range(40) for b in range(100, 140)]  # both sides of a full bipartite graph
+    monkeypatch.setattr(match, "_walk", no_rows)
+    monkeypatch.setattr(match, "expand_rows", no_rows)
+    if seed == 0:
+        assert match.match_count(frame(spark, many), p).first()[0] == (40 * 39 * 38) ** 2 // 6
+        assert match.match_count(large_orders, p).first()[0] == COUNTS[17]
+        return
+    rng = random.Random(seed)
+    names = rng.sample(range(100_000_000, 2**40), 7)
+    edges = {tuple(sorted(e)) for e in combinations(names, 2) if rng.random() < 0.5 + seed / 10}
+    monkeypatch.setattr(cycles, "WALKS", 10)
+    assert match.match_count(frame(spark, edges), p).first()[0] == brute_force(p, edges)
+
+
+def test_hexagons_of_graphs_for_joins(spark, large_orders, monkeypatch):
+    assert match.match_count(frame(spark, []), preset(17)).first()[0] == 0
+    monkeypatch.setattr(cycles, "MOST_EDGES", 10)
+    monkeypatch.setattr(cycles, "hexagon_count", None)
+    assert match.match_count(large_orders, preset(17)).first()[0] == COUNTS[17]
