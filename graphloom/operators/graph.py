@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.tables import written
+
 
 def edges_norm(edges: DataFrame) -> DataFrame:
     """``(src, dst)`` with src < dst: without loops, repeated edges and null ends."""
@@ -145,7 +147,7 @@ def degree_order(edges: DataFrame, deg: DataFrame | None = None) -> DataFrame:
 
 def degree_recoded(edges: DataFrame) -> DataFrame:
     """Normalised edges numbered densely by degree, then id: counts of patterns don't change, but in the order of the numbers a hub comes last, so few lists start at it."""
-    ids = numbered(degrees(edges), "v", "id", ("deg",)).select("v", "id")
+    ids = numbered(written(degrees(edges)), "v", "id", ("deg",)).select("v", "id")  # read several times
     return recoded(edges, ids)
 
 

@@ -187,7 +187,9 @@ def square_count(edges: DataFrame) -> DataFrame:
     close a square. Each edge makes as many rows as its end of smaller degree has
     neighbours at most, so a hub's pairs of neighbours are never made.
     """
-    up = written(degree_recoded(edges))
+    own = written(edges)
+    up = written(degree_recoded(own))
+    forget(own)
     middle = arcs(up).select(F.col("src").alias("v"), F.col("dst").alias("far"))
     paths = middle.join(up.select(F.col("src").alias("v"), F.col("dst").alias("last")), "v").where(F.col("far") < F.col("last"))
     shared = paths.groupBy("far", "last").agg(F.count("*").alias("c")).where(F.col("c") > 1)
