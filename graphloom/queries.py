@@ -131,10 +131,10 @@ def queries() -> dict[str, Query]:
         "noted_match_q1": lambda s, d: match.match_count(noted_graph(s, d), preset(1)),
         "noted_match_q2": lambda s, d: match.match_count(noted_graph(s, d), preset(2)),
         "noted_match_q8": lambda s, d: match.match_count(noted_graph(s, d), preset(8)),
-        "noted_match_candidate_q24": lambda s, d: match.candidate_count(written(noted_graph(s, d)), preset(24)),
+        "noted_match_candidate_q24": lambda s, d: match.candidate_count(noted_graph(s, d), preset(24)),
         "noted_dpiso_sizes_q14": lambda s, d: match.candidate_sizes(match.dpiso_candidates(written(noted_graph(s, d)), preset(14))),
         "parts_dpiso_sizes_q5": lambda s, d: match.candidate_sizes(match.dpiso_candidates(written(parts_graph(s, d)), preset(5))),
-        "parts_match_candidate_q5": lambda s, d: match.candidate_count(written(parts_graph(s, d)), preset(5)),
+        "parts_match_candidate_q5": lambda s, d: match.candidate_count(parts_graph(s, d), preset(5)),
         "candidate_edges_q5": lambda s, d: _candidate_edges(written(large_orders_graph(s, d)), preset(5)),
         "split_bins": lambda s, d: cluster.split_bins(parts_graph(s, d), core.shell_bins(parts_graph(s, d), 3), 4),
     }
@@ -143,7 +143,7 @@ def queries() -> dict[str, Query]:
     for q in (2, 8, 24):
         out[f"match_expand_q{q}"] = lambda s, d, q=q: match.expand_count(parts_graph(s, d), preset(q))
     for q in (5, 14, 25):
-        out[f"match_candidate_q{q}"] = lambda s, d, q=q: match.candidate_count(written(large_orders_graph(s, d)), preset(q))
+        out[f"match_candidate_q{q}"] = lambda s, d, q=q: match.candidate_count(large_orders_graph(s, d), preset(q))
     return out | roundtrips.queries() | {
         "p3_found": lambda s, d: skew.found_hubs(load(s, d, "edges")),
         "p3_vertex_loads": lambda s, d: skew.vertex_loads(load(s, d, "edges")),
